@@ -60,10 +60,11 @@ def fold_ascii(c: Column | str, exact: bool = True) -> Column:
     function (the others reach it as NULL).  ``exact=False`` leaves that step out.
     """
     c = _col(c)
-    plain = F.regexp_replace(c, NON_ASCII, "")
+    ascii_only = F.octet_length(c) == F.length(c)
+    plain = F.when(ascii_only, c).otherwise(F.regexp_replace(c, NON_ASCII, ""))
     if not exact:
         return plain
-    hard = F.when(c.rlike(FOLDS_TO_ASCII), c)
+    hard = F.when(~ascii_only & c.rlike(FOLDS_TO_ASCII), c)
     return F.coalesce(_nfkc_ascii(hard), plain)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyclerk import vocab as V
-from tallyclerk.functions.normalize import NORMALIZERS, is_blank, normalize
+from tallyclerk.functions.normalize import comparable, is_blank, normalize
 from tallyclerk.functions.text import fold_ascii, strip
 
 S = r"[\t-\r\x{1c}-\x{20}]"
@@ -41,14 +41,15 @@ def _literal(text: str) -> str:
 
 
 # What may follow a label: up to four stray characters, an optional parenthesis, then the
-# separator of the form and the value.
-_AFTER_LABEL = rf"(?s)^[^\t-\r\x{{1c}}-\x{{20}}:\x{{ff1a}}]{{0,4}}{S}*(?:\([^)]*\))?{S}*"
+# separator of the form and the value.  Possessive quantifiers keep wide columns linear.
+_STRAY = r"(?s)^[^\t-\r\x{1c}-\x{20}:\x{ff1a}]{0,4}"
+_PAREN = rf"(?:{S}*+\([^)]*\))?"
 FORM_PATTERN = {
-    COLON: _AFTER_LABEL + rf":{S}*({NOT_S}.*)$",
-    WIDE: _AFTER_LABEL + rf"{S}{{2,}}({NOT_S}.*)$",
-    TIGHT: _AFTER_LABEL + rf"{S}+({NOT_S}.*)$",
+    COLON: _STRAY + _PAREN + rf"{S}*+:{S}*+({NOT_S}.*)$",
+    WIDE: _STRAY + _PAREN + rf"{S}{{2,}}+({NOT_S}.*)$",
+    TIGHT: _STRAY + _PAREN + rf"{S}++({NOT_S}.*)$",
 }
-ALONE_PATTERN = rf"(?s)^{S}*(?:\([^)]*\))?{S}*:?{S}*$"
+ALONE_PATTERN = rf"(?s)^{_PAREN}{S}*+:?{S}*+$"
 
 
 def _without_total(label: str) -> str:
@@ -117,6 +118,135 @@ def doc_type(text: Column | str) -> Column:
     )
 
 
+def _head_pattern(labels: dict[str, list[str]]) -> str:
+    """The label a line starts with, longest first; TOTAL before it unless part of it."""
+    known = sorted({x.upper() for xs in labels.values() for x in xs}, key=lambda x: (-len(x), x))
+    own_total = [x for x in known if x.startswith("TOTAL ")]
+    prefix = rf"(?:TOTAL{S}+)?"
+    if own_total:
+        prefix = "(?:(?=" + "|".join(_literal(x) for x in own_total) + f")|{prefix})"
+    return rf"(?i)^{S}*{prefix}(" + "|".join(_literal(x) for x in known) + ")"
+
+
+# A candidate as one number, ordered like (field, label, form, line).
+_LINE_BITS, _FORM_BITS, _LABEL_BITS = 32, 3, 12
+NO_FORM = 4
+
+
+def _codes(folded: Column, labels: dict[str, list[str]]) -> Column:
+    """The leading candidate of every line that starts with a label, as numbers.
+
+    Only the longest label of a line is looked at.  Where it fits no form although a
+    shorter label of the field might, the number says NO_FORM and sorts by that label, so
+    it surfaces instead of being lost.
+    """
+    head = _head_pattern(labels)
+    ranks = []
+    for f, field in enumerate(V.FIELDS):
+        for l, label in enumerate(labels[field]):
+            ranks += [F.lit(label.upper()), F.lit((f << _LABEL_BITS) + l).cast("bigint")]
+    rank = F.create_map(*ranks)
+    # Each step binds what the next one uses more than once: a lambda's variables are
+    # values, while an expression repeated in it would be evaluated again.
+    hits = F.array_compact(
+        F.transform(
+            folded,
+            lambda t, i: F.when(
+                t.rlike(head), F.struct(i.alias("i"), F.btrim(t, F.lit(V.ASCII_SPACE)).alias("line"))
+            ),
+        )
+    )
+    parted = F.transform(
+        hits,
+        lambda h: F.struct(
+            h["i"].alias("i"),
+            F.regexp_extract(h["line"], head, 1).alias("label"),
+            F.regexp_replace(h["line"], head, "").alias("rest"),
+        ),
+    )
+
+    def code(p):
+        form = F.when(p["rest"].rlike(ALONE_PATTERN), ALONE)
+        for k in (COLON, WIDE, TIGHT):
+            form = form.when(p["rest"].rlike(FORM_PATTERN[k]), k)
+        ranked = F.shiftleft(F.element_at(rank, F.upper(p["label"])), _FORM_BITS) + form.otherwise(NO_FORM)
+        return F.shiftleft(ranked, _LINE_BITS) + p["i"]
+
+    return F.transform(parted, code)
+
+
+def _part(code: Column, shift: int, bits: int) -> Column:
+    return F.shiftright(code, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int")
+
+
+def _leaders(raw: Column, folded: Column, codes: Column, labels: dict[str, list[str]]) -> Column:
+    """Per field the reading of its leading candidate, and whether it is beyond doubt."""
+    head, space = _head_pattern(labels), F.lit(V.ASCII_SPACE)
+    field_shift = _LINE_BITS + _FORM_BITS + _LABEL_BITS
+    names = F.array(*[F.lit(x) for x in V.FIELDS])
+    spelled = F.array(*[F.array(*[F.lit(x) for x in labels[f]]) for f in V.FIELDS])
+    longer = {x: label_tails(x, labels) for xs in labels.values() for x in xs}
+    tails = F.create_map(
+        *[y for x, ts in longer.items() if ts for y in (F.lit(x), F.array(*[F.lit(t) for t in ts]))]
+    )
+
+    # Outside a lambda: an expression referenced inside one could be inlined into it and
+    # be evaluated once per element.
+    best = F.array(
+        *[
+            F.array_min(F.filter(codes, lambda c, f=f: F.shiftright(c, field_shift) == f))
+            for f in range(len(V.FIELDS))
+        ]
+    )
+
+    def place(c, f):
+        form, i = _part(c, _LINE_BITS, _FORM_BITS), _part(c, 0, _LINE_BITS)
+        label = F.get(F.get(spelled, f), _part(c, _LINE_BITS + _FORM_BITS, _LABEL_BITS))
+        after = F.when(form == ALONE, F.btrim(F.get(folded, i + 1), space) == "")
+        return F.struct(
+            F.get(names, f).alias("field"),
+            label.alias("label"),
+            form.alias("form"),
+            F.when(form != ALONE, i).when(after, i + 2).when(~after, i + 1).alias("at"),
+            F.when(form != ALONE, F.regexp_replace(F.btrim(F.get(folded, i), space), head, "")).alias("rest"),
+        )
+
+    def read(p):
+        raw_line = F.get(raw, p["at"])
+        wrapped = F.when(
+            raw_line.rlike(r"^(?U)[\s\x{1c}-\x{1f}]"), F.btrim(F.get(folded, p["at"]), space)
+        )
+        got = F.when(p["form"] == ALONE, wrapped)
+        for k in (COLON, WIDE, TIGHT):
+            got = got.when(p["form"] == k, F.regexp_extract(p["rest"], FORM_PATTERN[k], 1))
+        return F.struct(
+            p["field"].alias("field"),
+            p["label"].alias("label"),
+            p["form"].alias("form"),
+            (p["at"] + 1).alias("at"),
+            F.substring(strip(raw_line), 1, V.SNIPPET_CHARS).alias("snippet"),
+            got.alias("raw"),
+        )
+
+    def judge(r):
+        blank = is_blank(r["raw"])
+        return F.struct(
+            r.alias("r"), blank.alias("blank"), F.when(~blank, comparable(r["field"], r["raw"])).alias("value")
+        )
+
+    def doubt(j):
+        r = j["r"]
+        stopped = j["blank"] & (r["form"] != ALONE) & r["raw"].isNotNull()
+        odd = r["raw"].rlike(r"^[|:]")
+        fragment = is_label_fragment(r["raw"], F.element_at(tails, r["label"]))
+        fine = (stopped | (F.coalesce(j["value"], F.lit("")) != "")) & ~odd & ~F.coalesce(fragment, F.lit(False))
+        return F.struct(
+            r.alias("r"), j["value"].alias("value"), (r["form"].isNotNull() & ~F.coalesce(fine, F.lit(False))).alias("doubtful")
+        )
+
+    return F.transform(F.transform(F.transform(F.transform(best, place), read), judge), doubt)
+
+
 def _candidates(raw: Column, folded: Column, labels: dict[str, list[str]]) -> Column:
     """Every (label, form) a line of the document matches, as an array of candidates."""
     pattern, lookup = _label_lookup(labels)
@@ -189,7 +319,7 @@ def _candidates(raw: Column, folded: Column, labels: dict[str, list[str]]) -> Co
             n["i"].alias("i"),
             at.alias("at"),
             text.alias("raw"),
-            snippet_of.alias("line_text"),
+            F.substring(strip(snippet_of), 1, V.SNIPPET_CHARS).alias("snippet"),
             n["label"].alias("label"),
         )
 
@@ -214,8 +344,44 @@ def _candidates(raw: Column, folded: Column, labels: dict[str, list[str]]) -> Co
     return F.flatten(F.transform(read, forms))
 
 
-def _normalize_field(field: str, raw: Column) -> Column:
-    return NORMALIZERS[field](raw)
+def _entry(field: Column, r: Column, value: Column) -> Column:
+    trust = F.when(r["form"] == ALONE, V.CONF_WRAP).when(r["form"] == COLON, V.CONF_COLON)
+    trust = trust.when(r["form"] == WIDE, V.CONF_WIDE).otherwise(V.CONF_TIGHT)
+    return F.struct(
+        field.alias("field"),
+        value.alias("value"),
+        r["raw"].alias("raw"),
+        F.when(value.isNull(), 0.0).otherwise(trust).alias("confidence"),
+        F.lit("rule").alias("method"),
+        F.coalesce(r["at"], F.lit(-1)).alias("line"),
+        F.coalesce(r["label"], F.lit("")).alias("label_seen"),
+        F.coalesce(r["snippet"], F.lit("")).alias("snippet"),
+    )
+
+
+def _contest(found: Column) -> Column:
+    """Winners per field among all candidates, each normalised."""
+    # Only the first line a label stands alone on may offer a wrapped value.
+    allowed = F.filter(
+        found,
+        lambda c: (c["form"] != ALONE)
+        | (
+            c["raw"].isNotNull()
+            & ~F.exists(
+                found,
+                lambda d: (d["form"] == ALONE) & (d["f"] == c["f"]) & (d["l"] == c["l"]) & (d["i"] < c["i"]),
+            )
+        ),
+    )
+    names = F.array(*[F.lit(x) for x in V.FIELDS])
+    valued = F.transform(
+        allowed,
+        lambda c: F.struct(
+            c.alias("c"), is_blank(c["raw"]).alias("blank"), normalize(F.get(names, c["f"]), c["raw"]).alias("value")
+        ),
+    )
+    # a placeholder after a label ends the search; a value that cannot be used does not
+    return F.filter(valued, lambda v: v["value"].isNotNull() | (v["blank"] & (v["c"]["form"] != ALONE)))
 
 
 def extract_fields(
@@ -225,6 +391,7 @@ def extract_fields(
     labels: dict[str, list[str]] | None = None,
     exact_unicode: bool = True,
     into: str = "fields",
+    always_thorough: bool = False,
 ) -> DataFrame:
     """Add `into`: one entry per field, in field order, for every readable document.
 
@@ -232,6 +399,10 @@ def extract_fields(
     followed by a placeholder keeps the placeholder in `raw`.  Unreadable or empty
     documents get an empty array.  `labels` replaces the built-in label lists (see
     `vocab.distinct_labels` for adding learned labels).
+
+    Most documents are settled by the leading candidate of each field.  Only those where
+    one of them turns out unusable have all candidates built and contested, which
+    `always_thorough` forces; the outcome is the same.
     """
     labels = labels or V.distinct_labels()
     body = F.coalesce(F.col(text), F.lit(""))
@@ -242,75 +413,35 @@ def extract_fields(
     step = step.withColumn("_raw", F.split("_source", "\n")).withColumn(
         "_folded", F.split(fold_ascii("_source", exact_unicode), "\n")
     ).drop("_source")
-    step = step.withColumn("_found", _candidates(F.col("_raw"), F.col("_folded"), labels)).drop("_raw", "_folded")
-
-    # Only the first line a label stands alone on may offer a wrapped value.
-    contest = F.filter(
-        F.col("_found"),
-        lambda c: (c["form"] != ALONE)
-        | (
-            c["raw"].isNotNull()
-            & ~F.exists(
-                F.col("_found"),
-                lambda d: (d["form"] == ALONE) & (d["f"] == c["f"]) & (d["l"] == c["l"]) & (d["i"] < c["i"]),
-            )
-        ),
-    )
-    step = step.withColumn("_contest", contest).drop("_found")
-    contest = F.col("_contest")
-
-    # The best candidate is normalised first.  Only where it turns out to be unusable are
-    # all candidates of the document normalised and the contest held among the valid ones.
-    step = step.withColumn(
-        "_best", F.array(*[F.array_min(F.filter(contest, lambda c, f=f: c["f"] == f)) for f in range(len(V.FIELDS))])
-    )
-    best = [F.get("_best", F.lit(i)) for i in range(len(V.FIELDS))]
-    judged = [
-        F.struct(
-            is_blank(b["raw"]).alias("blank"),
-            F.when(~is_blank(b["raw"]), _normalize_field(f, b["raw"])).alias("value"),
-        )
-        for f, b in zip(V.FIELDS, best)
-    ]
-    step = step.withColumn("_judged", F.array(*judged))
-    unusable = [
-        b.isNotNull() & F.get("_judged", F.lit(i))["value"].isNull()
-        & ~(F.get("_judged", F.lit(i))["blank"] & (b["form"] != ALONE))
-        for i, b in enumerate(best)
-    ]
-
-    def entry(field: Column, c: Column, value: Column) -> Column:
-        trust = F.when(c["form"] == ALONE, V.CONF_WRAP).when(c["form"] == COLON, V.CONF_COLON)
-        trust = trust.when(c["form"] == WIDE, V.CONF_WIDE).otherwise(V.CONF_TIGHT)
-        return F.struct(
-            field.alias("field"),
-            value.alias("value"),
-            c["raw"].alias("raw"),
-            F.when(value.isNull(), 0.0).otherwise(trust).alias("confidence"),
-            F.lit("rule").alias("method"),
-            F.coalesce(c["at"], F.lit(-1)).alias("line"),
-            F.coalesce(c["label"], F.lit("")).alias("label_seen"),
-            F.coalesce(F.substring(strip(c["line_text"]), 1, V.SNIPPET_CHARS), F.lit("")).alias("snippet"),
-        )
-
     names = F.array(*[F.lit(x) for x in V.FIELDS])
-    quick = F.array(
-        *[entry(F.lit(f), b, F.get("_judged", F.lit(i))["value"]) for i, (f, b) in enumerate(zip(V.FIELDS, best))]
-    )
-    valued = F.transform(
-        contest,
-        lambda c: F.struct(
-            c.alias("c"), is_blank(c["raw"]).alias("blank"), normalize(F.get(names, c["f"]), c["raw"]).alias("value")
-        ),
-    )
-    valid = F.filter(valued, lambda v: v["value"].isNotNull() | (v["blank"] & (v["c"]["form"] != ALONE)))
-    thorough = F.transform(
-        F.transform(
-            names, lambda n, i: F.struct(n.alias("n"), F.array_min(F.filter(valid, lambda v: v["c"]["f"] == i)).alias("w"))
-        ),
-        lambda r: entry(r["n"], r["w"]["c"], r["w"]["value"]),
+
+    if always_thorough or not _ordered_by_length(labels):
+        step = step.withColumn("_lead", F.lit(None).cast("array<string>"))
+        doubtful, quick = F.col("_raw").isNotNull(), None
+    else:
+        step = step.withColumn("_codes", _codes(F.col("_folded"), labels))
+        step = step.withColumn("_lead", _leaders(F.col("_raw"), F.col("_folded"), F.col("_codes"), labels)).drop("_codes")
+        doubtful = F.exists("_lead", lambda x: x["doubtful"])
+        quick = F.transform("_lead", lambda x, i: _entry(F.get(names, i), x["r"], x["value"]))
+
+    step = step.withColumn("_found", F.when(doubtful, _candidates(F.col("_raw"), F.col("_folded"), labels)))
+    step = step.withColumn("_valid", _contest(F.col("_found"))).drop("_found")
+    winners = F.array(
+        *[F.array_min(F.filter("_valid", lambda v, f=f: v["c"]["f"] == f)) for f in range(len(V.FIELDS))]
     )
+    thorough = F.transform(winners, lambda w, i: _entry(F.get(names, i), w["c"], w["value"]))
     none = F.array().cast(f"array<{FIELD_STRUCT}>")
-    doubtful = reduce(lambda a, b: a | b, unusable)
-    done = F.when(contest.isNull(), none).when(doubtful, thorough).otherwise(quick)
-    return step.withColumn(into, done).drop("_contest", "_best", "_judged")
+    done = F.when(F.col("_raw").isNull(), none).when(F.col("_valid").isNotNull(), thorough)
+    if quick is not None:
+        done = done.otherwise(quick)
+    return step.withColumn(into, done).drop("_raw", "_folded", "_lead", "_valid")
+
+
+def _ordered_by_length(labels: dict[str, list[str]]) -> bool:
+    """Whether, of two labels one of which begins with the other, the longer comes first."""
+    for xs in labels.values():
+        for i, a in enumerate(xs):
+            for b in xs[i + 1 :]:
+                if _without_total(b.upper()).startswith(_without_total(a.upper())) and len(_without_total(b)) > len(_without_total(a)):
+                    return False
+    return True
