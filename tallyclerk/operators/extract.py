@@ -102,6 +102,16 @@ def _label_lookup(labels: dict[str, list[str]]) -> tuple[str, Column]:
     return pattern, F.create_map(*pairs)
 
 
+def computed_once(c: Column) -> Column:
+    """Keep filters on a costly column above its projection.
+
+    A predicate pushed through a projection takes a copy of the column's expression with
+    it, and the work is done twice.  Nothing is pushed through an expression that is not
+    deterministic; the condition is always true.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def doc_type(text: Column | str) -> Column:
     """SI, BL, OTHER or UNKNOWN from markers in the opening, foreign documents first."""
     text = F.col(text) if isinstance(text, str) else text
@@ -192,12 +202,10 @@ def _leaders(raw: Column, folded: Column, codes: Column, labels: dict[str, list[
 
     # Outside a lambda: an expression referenced inside one could be inlined into it and
     # be evaluated once per element.
-    best = F.array(
-        *[
-            F.array_min(F.filter(codes, lambda c, f=f: F.shiftright(c, field_shift) == f))
-            for f in range(len(V.FIELDS))
-        ]
-    )
+    def least_of(f):
+        return F.array_min(F.filter(codes, lambda c: F.shiftright(c, field_shift) == f))
+
+    best = F.array(*[least_of(f) for f in range(len(V.FIELDS))])
 
     def place(c, f):
         form, i = _part(c, _LINE_BITS, _FORM_BITS), _part(c, 0, _LINE_BITS)
@@ -426,15 +434,16 @@ def extract_fields(
 
     step = step.withColumn("_found", F.when(doubtful, _candidates(F.col("_raw"), F.col("_folded"), labels)))
     step = step.withColumn("_valid", _contest(F.col("_found"))).drop("_found")
-    winners = F.array(
-        *[F.array_min(F.filter("_valid", lambda v, f=f: v["c"]["f"] == f)) for f in range(len(V.FIELDS))]
-    )
+    def winner(f):
+        return F.array_min(F.filter("_valid", lambda v: v["c"]["f"] == f))
+
+    winners = F.array(*[winner(f) for f in range(len(V.FIELDS))])
     thorough = F.transform(winners, lambda w, i: _entry(F.get(names, i), w["c"], w["value"]))
     none = F.array().cast(f"array<{FIELD_STRUCT}>")
     done = F.when(F.col("_raw").isNull(), none).when(F.col("_valid").isNotNull(), thorough)
     if quick is not None:
         done = done.otherwise(quick)
-    return step.withColumn(into, done).drop("_raw", "_folded", "_lead", "_valid")
+    return step.withColumn(into, computed_once(done)).drop("_raw", "_folded", "_lead", "_valid")
 
 
 def _ordered_by_length(labels: dict[str, list[str]]) -> bool:

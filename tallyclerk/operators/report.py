@@ -105,20 +105,16 @@ def highlighted_lines(results: DataFrame, document_text: DataFrame) -> DataFrame
     Both sides of the join already carry the document: a result holds at most one entry
     per field and side, so the entries ride along in an array and no line is shuffled.
     """
-    entries = results.select(
-        F.explode(F.array(*[
-            F.struct(
-                F.col(s)["path"].alias("path"),
-                F.lit(s).alias("which"),
-                F.transform(
-                    "comparisons",
-                    lambda c, s=s: F.struct(c[s]["line"].alias("line"), c["field"].alias("field"), c["status"].alias("status")),
-                ).alias("marks"),
-            )
-            for s in ("si", "bl")
-        ])).alias("d"),
-        "email_id",
-    ).select("email_id", "d.*").filter(F.col("path").isNotNull())
+    def entry(side):
+        def mark(c):
+            return F.struct(c[side]["line"].alias("line"), c["field"].alias("field"), c["status"].alias("status"))
+
+        return F.struct(
+            F.col(side)["path"].alias("path"), F.lit(side).alias("which"), F.transform("comparisons", mark).alias("marks")
+        )
+
+    both = F.explode(F.array(entry("si"), entry("bl"))).alias("d")
+    entries = results.select("email_id", both).select("email_id", "d.*").filter(F.col("path").isNotNull())
     joined = entries.join(document_text.select("path", "text"), "path")
     lines = joined.select("email_id", "which", "marks", F.explode(numbered_lines("text")).alias("l"))
     here = F.filter("marks", lambda m: m["line"] == F.col("l")["line"])

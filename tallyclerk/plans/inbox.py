@@ -15,6 +15,7 @@ from tallyclerk import vocab as V
 from tallyclerk.operators import classify as C
 from tallyclerk.operators import reconcile as R
 from tallyclerk.operators.documents import extract_documents, ingest
+from tallyclerk.operators.extract import computed_once
 
 
 def pair_documents(messages: DataFrame, documents: DataFrame, wanted: Column | None = None) -> DataFrame:
@@ -77,7 +78,8 @@ def route(paired: DataFrame) -> DataFrame:
     compared = F.col("_outcome").isin("compared", "scanned")
     step = paired.withColumn("_outcome", outcome)
     step = step.withColumn(
-        "comparisons", F.when(compared, R.compare_documents(si["fields"], bl["fields"]))
+        "comparisons",
+        computed_once(F.when(compared, R.compare_documents(si["fields"], bl["fields"]))),
     )
     step = step.withColumn(
         "_decision", F.when(F.col("_outcome") == "compared", R.decide_comparisons(F.col("comparisons")))
