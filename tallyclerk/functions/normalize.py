@@ -19,7 +19,11 @@ def is_blank(raw: Column | str) -> Column:
     """Absent, a placeholder, or a fill-in run such as '____MT'."""
     raw = _col(raw)
     core = strip(F.btrim(strip(raw), F.lit("_")))
-    return raw.isNull() | raw.rlike("_{3,}") | F.upper(core).isin(*V.BLANKS)
+    return (
+        raw.isNull()
+        | raw.rlike("_{3,}")
+        | F.upper(core).isin(*V.BLANKS)
+    )
 
 
 def _tidy(c: Column) -> Column:

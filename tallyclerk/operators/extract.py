@@ -26,6 +26,9 @@ FIELD_STRUCT = (
     "line:int,label_seen:string,snippet:string>"
 )
 
+# Stands for "no longer label": no captured text begins or extends it.
+NO_TAIL = "\x00"
+
 # Forms in order of trust within one label.
 ALONE, COLON, WIDE, TIGHT = range(4)
 FORM_CONFIDENCE = {
@@ -52,6 +55,22 @@ FORM_PATTERN = {
 ALONE_PATTERN = rf"(?s)^{_PAREN}{S}*+:?{S}*+$"
 
 
+def _sql(value) -> str:
+    """A constant as SQL text: strings, integers, lists, and dicts (as structs)."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, list):
+        return "array(" + ", ".join(_sql(v) for v in value) + ")"
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {_sql(v)}" for k, v in value.items()) + ")"
+    return str(value)
+
+
+def _sql_map(table: dict) -> Column:
+    """A constant table as one expression, which costs one call instead of one per cell."""
+    return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")")
+
+
 def _without_total(label: str) -> str:
     return re.sub(r"^TOTAL\s+", "", label)
 
@@ -83,23 +102,15 @@ def _label_lookup(labels: dict[str, list[str]]) -> tuple[str, Column]:
     for text in sorted(stripped, key=lambda x: (len(x), x)):
         if not any(text.startswith(stem) for stem in stems):
             stems.append(text)
-    by_stem: dict[str, list[Column]] = {stem: [] for stem in stems}
+    by_stem: dict[str, list[dict]] = {stem: [] for stem in stems}
     for f, field in enumerate(V.FIELDS):
         for l, label in enumerate(labels[field]):
             stem = next(s for s in stems if _without_total(label.upper()).startswith(s))
-            tails = F.array(*[F.lit(t) for t in label_tails(label, labels)]).cast("array<string>")
             by_stem[stem].append(
-                F.struct(
-                    F.lit(f).alias("f"),
-                    F.lit(l).alias("l"),
-                    F.lit(label).alias("label"),
-                    F.lit(label.upper()).alias("upper"),
-                    tails.alias("tails"),
-                )
+                {"f": f, "l": l, "label": label, "upper": label.upper(), "tails": label_tails(label, labels) or [NO_TAIL]}
             )
-    pairs = [x for stem, found in by_stem.items() for x in (F.lit(stem), F.array(*found))]
     pattern = rf"(?i)^{S}*(?:TOTAL{S}+)?(" + "|".join(_literal(s) for s in stems) + ")"
-    return pattern, F.create_map(*pairs)
+    return pattern, _sql_map(by_stem)
 
 
 def computed_once(c: Column) -> Column:
@@ -151,11 +162,13 @@ def _codes(folded: Column, labels: dict[str, list[str]]) -> Column:
     it surfaces instead of being lost.
     """
     head = _head_pattern(labels)
-    ranks = []
-    for f, field in enumerate(V.FIELDS):
-        for l, label in enumerate(labels[field]):
-            ranks += [F.lit(label.upper()), F.lit((f << _LABEL_BITS) + l).cast("bigint")]
-    rank = F.create_map(*ranks)
+    rank = _sql_map(
+        {
+            label.upper(): (f << _LABEL_BITS) + l
+            for f, field in enumerate(V.FIELDS)
+            for l, label in enumerate(labels[field])
+        }
+    ).cast("map<string,bigint>")
     # Each step binds what the next one uses more than once: a lambda's variables are
     # values, while an expression repeated in it would be evaluated again.
     hits = F.array_compact(
@@ -193,12 +206,10 @@ def _leaders(raw: Column, folded: Column, codes: Column, labels: dict[str, list[
     """Per field the reading of its leading candidate, and whether it is beyond doubt."""
     head, space = _head_pattern(labels), F.lit(V.ASCII_SPACE)
     field_shift = _LINE_BITS + _FORM_BITS + _LABEL_BITS
-    names = F.array(*[F.lit(x) for x in V.FIELDS])
-    spelled = F.array(*[F.array(*[F.lit(x) for x in labels[f]]) for f in V.FIELDS])
-    longer = {x: label_tails(x, labels) for xs in labels.values() for x in xs}
-    tails = F.create_map(
-        *[y for x, ts in longer.items() if ts for y in (F.lit(x), F.array(*[F.lit(t) for t in ts]))]
-    )
+    names = F.expr(_sql(list(V.FIELDS)))
+    spelled = F.expr(_sql([labels[f] for f in V.FIELDS]))
+    longer = {x: label_tails(x, labels) or [NO_TAIL] for xs in labels.values() for x in xs}
+    tails = _sql_map(longer)
 
     # Outside a lambda: an expression referenced inside one could be inlined into it and
     # be evaluated once per element.
@@ -381,7 +392,7 @@ def _contest(found: Column) -> Column:
             )
         ),
     )
-    names = F.array(*[F.lit(x) for x in V.FIELDS])
+    names = F.expr(_sql(list(V.FIELDS)))
     valued = F.transform(
         allowed,
         lambda c: F.struct(
@@ -421,7 +432,7 @@ def extract_fields(
     step = step.withColumn("_raw", F.split("_source", "\n")).withColumn(
         "_folded", F.split(fold_ascii("_source", exact_unicode), "\n")
     ).drop("_source")
-    names = F.array(*[F.lit(x) for x in V.FIELDS])
+    names = F.expr(_sql(list(V.FIELDS)))
 
     if always_thorough or not _ordered_by_length(labels):
         step = step.withColumn("_lead", F.lit(None).cast("array<string>"))
