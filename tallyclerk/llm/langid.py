@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +38,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-@lru_cache(1)
+_table: list[np.ndarray] = []
+
+
 def _letters() -> np.ndarray:
-    """Code point to the lower-case letter's, or to the space's, for the basic plane."""
+    """Code point to the lower-case letter's, or to the space's, for the basic plane; made once."""
+    if _table:
+        return _table[0]
     out = np.full(1 << 16, 32, np.uint32)
     for i in range(1 << 16):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
             out[i] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else i
+    _table.append(out)
     return out
 
 
@@ -168,11 +172,13 @@ def fit_documents(documents: DataFrame, per_lang: int = PER_LANG, max_chars: int
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS x languages floats
+    parts = (model.langs, model.weights, model.bias, model.temperature)
+    shared = documents.sparkSession.sparkContext.broadcast(parts)  # 2 ** BITS x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
         for batch in batches:
-            said = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
+            said = [own.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], ["doc_id", "lang_pred", "score"])
 
