@@ -44,6 +44,8 @@ OUT_NAMES = frozenset(
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall disclaimer"
     " share sharing social subscribe subscription newsletter signup login form search hidden".split())
 KEEP_TAGS = frozenset("html body article main".split())
+#: What can hold an article; lists, tables and quotes only pass points on.
+CONTAINERS = frozenset("div section article main body #page".split())
 GOOD_NAMES = frozenset("article content entry post story text main body page".split())
 
 TOKEN = re.compile(
@@ -159,13 +161,15 @@ class Page:
         for i in range(n - 1, 0, -1):
             total[self.parent[i]] += total[i]
             total_links[self.parent[i]] += total_links[i]
-        for i in range(1, n):
+        for i in range(n):
             if length[i]:
                 points = (1 + commas[i] + min(3, length[i] / 100)) * (1 - links[i] / length[i])
-                at, far = (i if self.tag[i] in ("div", "section", "article", "main", "body") else self.parent[i]), 0
-                while at > 0 and points:
-                    score[at] += points / (1 if not far else 2 if far == 1 else 3 * far)
-                    at, far = self.parent[at], far + 1
+                at, far = (i if self.tag[i] in CONTAINERS else self.parent[i]), 0
+                while at >= 0 and points:
+                    if self.tag[at] in CONTAINERS or self.tag[at] == "td":
+                        score[at] += points / (1 if not far else 2 if far == 1 else 3 * far)
+                        far += 1
+                    at = self.parent[at]
         for i in range(n):
             score[i] *= (1 - total_links[i] / total[i] if total[i] else 0) * (1.5 if self.tag[i] in ("article", "main") else 1.25 if self.good[i] else 1)
         usable = [i for i in range(n) if not self.out[i] and self.tag[i] not in INLINE and total[i]]

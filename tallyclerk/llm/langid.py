@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,16 +170,22 @@ def fit_documents(documents: DataFrame, per_lang: int = PER_LANG, max_chars: int
     return fit([t for _, t in rows], [y for y, _ in rows])
 
 
-def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every document."""
-    parts = (model.langs, model.weights, model.bias, model.temperature)
-    shared = documents.sparkSession.sparkContext.broadcast(parts)  # 2 ** BITS x languages floats
+def said(text: Column, model: Model, documents: DataFrame) -> Column:
+    """struct<lang_pred, score> of a text column of `documents`."""
+    # 2 ** BITS x languages floats, as plain values: workers build the model from them.
+    shared = documents.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.bias, model.temperature))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
-        for batch in batches:
-            said = [own.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in said], pa.string()), pa.array([y for _, y in said], pa.float64())], ["doc_id", "lang_pred", "score"])
+        for texts in batches:
+            yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
+
+    return F.pandas_udf(run, "struct<lang_pred:string,score:double>")(text)
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+
+def identify(documents: DataFrame, model: Model) -> DataFrame:
+    """`documents` with lang_pred and score, in place of columns of those names."""
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ("lang_pred", "score")]
+    own = "_said" + "_" * max(map(len, documents.columns))  # longer than any name that is there
+    parts = documents.select(*others, said(F.col("text"), model, documents).alias(own))
+    return parts.select(*others, F.col(f"{own}.lang_pred").alias("lang_pred"), F.col(f"{own}.score").alias("score"))

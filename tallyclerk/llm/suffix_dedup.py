@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTH, GRAM = 100, 24  # the hash below takes three words of 8 bytes
+ADDED = "kept kept_text n_bytes n_removed n_spans".split()
 #: Bytes of stretches in one suffix array.
 SHARD = 3 << 20
 _CHUNK = (1 << 20) - 256
@@ -359,15 +360,21 @@ def _cut(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
         kept.append(b"".join(parts) + t[at:])
         removed.append(n)
         spans.append(len(b))
-    return pd.DataFrame({"kept": kept, "n_removed": removed, "n_spans": spans})
+    whole = [k.decode("utf-8", "ignore") for k in kept]
+    return pd.DataFrame({"kept": kept, "kept_text": whole, "n_removed": removed, "n_spans": spans})
 
 
 def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """`documents` with kept (binary), n_bytes, n_removed, n_spans added."""
-    spans = removed_spans(documents, length).withColumnRenamed("doc", "_doc")
-    joined = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).join(spans, F.col("_key") == F.col("_doc"), "left")
-    cut = F.pandas_udf(_cut, "struct<kept:binary,n_removed:bigint,n_spans:bigint>")
-    done = joined.withColumn("_cut", cut(F.col("text").cast("binary"), "begins", "ends"))
-    return done.select(
-        *documents.columns, F.col("_cut.kept").alias("kept"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
-        F.col("_cut.n_removed").alias("n_removed"), F.col("_cut.n_spans").alias("n_spans"))
+    """`documents` with the columns ADDED, in place of any of those names.
+
+    kept_text is kept without the bytes of characters that a cut went through.
+    """
+    others = [F.col(f"`{c}`") for c in documents.columns if c not in ADDED]
+    own = "_sa" + "_" * max(map(len, documents.columns))  # longer than any name that is there
+    spans = removed_spans(documents, length).select(F.col("doc").alias(own), F.col("begins").alias(f"{own}begins"), F.col("ends").alias(f"{own}ends"))
+    keyed = documents.select(*others, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias(own))
+    joined = keyed.join(spans, own, "left")
+    cut = F.pandas_udf(_cut, "struct<kept:binary,kept_text:string,n_removed:bigint,n_spans:bigint>")
+    done = joined.select(*others, cut(F.col("text").cast("binary"), f"{own}begins", f"{own}ends").alias(f"{own}cut"))
+    added = {"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")}
+    return done.select(*others, *(added.get(c, F.col(f"{own}cut.{c}")).alias(c) for c in ADDED))
