@@ -70,31 +70,39 @@ def rules_table(spark, rules=None) -> DataFrame:
     )
 
 
-MAX_RULE_ROWS = 10_000
+#: Rule lists of up to this many rows are broadcast; longer ones are joined by shuffle.
+BROADCAST_RULES = 2_000
 
 
-def match_rules_table(messages: DataFrame, rules: DataFrame, body: str = "canonical_body") -> DataFrame:
+def match_rules_table(
+    messages: DataFrame, rules: DataFrame, body: str = "canonical_body", key: str = "email_id"
+) -> DataFrame:
     """First matching rule when rules are data; adds `rule`, NULL where none matches.
 
-    The rule list is a small hand-kept table: it is read once (the row bound is checked)
-    and travels inside the plan as one array, so messages are neither joined nor shuffled.
+    A rule list stays a table.  A short one travels as one row to every task, and messages
+    are not shuffled.  A longer one is met through the opening characters of its phrases:
+    as many as the shortest phrase has, looked up at every place of a body; only rules met
+    that way are tested.  Both give the same rows.  `key` is unique.
     """
-    rows = rules.orderBy("priority").limit(MAX_RULE_ROWS + 1).collect()
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"more than {MAX_RULE_ROWS} rules: compile them into groups first")
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r["category"]).alias("category"),
-                F.lit(r["confidence"]).alias("confidence"),
-                F.lit("rule").alias("method"),
-                F.lit(r["phrase"]).alias("evidence"),
-            )
-            for r in rows
-        ]
-    )
-    hits = F.filter(table, lambda r: F.contains(F.col(body), r["evidence"]))
-    return messages.withColumn("rule", F.get(hits, F.lit(0)))
+    usable = rules.filter(F.coalesce(F.length("phrase"), F.lit(0)) > 0)
+    entry = F.struct("priority", "category", "phrase", F.col("confidence").cast("double").alias("confidence"))
+    width = usable.agg(F.min(F.length("phrase")).alias("w"), F.count("*").alias("n")).first()
+    if width.n <= BROADCAST_RULES:
+        listed = F.broadcast(usable.agg(F.sort_array(F.collect_list(entry)).alias("_rules")))
+        first = F.get(F.filter("_rules", lambda r: F.contains(F.col(body), r["phrase"])), F.lit(0))
+        step = messages.crossJoin(listed).withColumn("_first", first)
+    else:
+        w = width.w
+        places = F.sequence(F.lit(1), F.length(body) - (w - 1))
+        openings = F.array_distinct(F.transform(places, lambda i: F.substring(F.col(body), i, F.lit(w))))
+        met = messages.filter(F.length(body) >= w).select(F.col(key).alias("_key"), F.explode(openings).alias("_opening"))
+        by_opening = usable.select(F.substring("phrase", 1, w).alias("_opening"), entry.alias("_entry"))
+        candidates = met.join(by_opening, "_opening").groupBy("_key").agg(F.sort_array(F.collect_set("_entry")).alias("_rules"))
+        step = messages.join(candidates, F.col(key) == F.col("_key"), "left").drop("_key")
+        step = step.withColumn("_first", F.get(F.filter("_rules", lambda r: F.contains(F.col(body), r["phrase"])), F.lit(0)))
+    first = F.col("_first")
+    rule = classification(first["category"], first["confidence"], "rule", first["phrase"])
+    return step.withColumn("rule", F.when(first.isNotNull(), rule)).drop("_rules", "_first")
 
 
 def unsure(classified: DataFrame, threshold: float = V.TRUST_THRESHOLD, column="classification") -> DataFrame:
@@ -135,7 +143,7 @@ def validated_answer(category: Column | str, confidence: Column | str) -> Column
     """A model answer made safe: unknown category is unusable, confidence is put in [0, 1]."""
     category, confidence = _col(category), _col(confidence)
     number = F.coalesce(confidence.try_cast("double"), F.lit(V.UNSTATED_CONFIDENCE))
-    clamped = F.greatest(F.lit(0.0), F.least(number, F.lit(1.0)))
+    clamped = F.when(F.isnan(number), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(number, F.lit(1.0))))
     known = F.coalesce(category.isin(*V.CATEGORIES), F.lit(False))
     return F.struct(
         F.when(known, category).otherwise(V.DEFAULT_CATEGORY).alias("category"),

@@ -188,23 +188,19 @@ def field_rows(extracted: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*(keep or ("path",)), "_f.*")
 
 
-def learned_labels(reviews: DataFrame, limit: int = 10_000) -> dict[str, list[str]]:
+def learned_labels(reviews: DataFrame) -> dict[str, list[str]]:
     """Label lists extended by labels reviewers confirmed: (field, label_seen) rows.
 
-    The distinct pairs are vocabulary, not data; the bound on their number is checked.
+    Only the distinct pairs leave the cluster: the vocabulary, however many reviews there are.
     """
     pairs = (
         reviews.filter(F.col("field").isin(*V.FIELDS) & (F.col("label_seen") != ""))
         .select("field", "label_seen")
         .distinct()
-        .orderBy("field", "label_seen")
-        .limit(limit + 1)
         .collect()
     )
-    if len(pairs) > limit:
-        raise ValueError(f"more than {limit} learned labels")
     extra: dict[str, list[str]] = {}
-    for p in pairs:
+    for p in sorted(pairs):
         extra.setdefault(p["field"], []).append(p["label_seen"])
     return V.distinct_labels(extra)
 

@@ -9,7 +9,6 @@ Nothing is exploded or shuffled, so a scan of any size extracts in its own tasks
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,7 +108,8 @@ def _label_lookup(labels: dict[str, list[str]]) -> tuple[str, Column]:
             by_stem[stem].append(
                 {"f": f, "l": l, "label": label, "upper": label.upper(), "tails": label_tails(label, labels) or [NO_TAIL]}
             )
-    pattern = rf"(?i)^{S}*(?:TOTAL{S}+)?(" + "|".join(_literal(s) for s in stems) + ")"
+    # One TOTAL may stand before a label, and a label may begin with another.
+    pattern = rf"(?i)^{S}*(?:TOTAL{S}+){{0,2}}(" + "|".join(_literal(s) for s in stems) + ")"
     return pattern, _sql_map(by_stem)
 
 
@@ -150,7 +150,8 @@ def _head_pattern(labels: dict[str, list[str]]) -> str:
 
 
 # A candidate as one number, ordered like (field, label, form, line).
-_LINE_BITS, _FORM_BITS, _LABEL_BITS = 32, 3, 12
+# Three bits are left for the field; 2 ** 25 labels are more than a plan could hold.
+_LINE_BITS, _FORM_BITS, _LABEL_BITS = 32, 3, 25
 NO_FORM = 4
 
 
@@ -162,13 +163,11 @@ def _codes(folded: Column, labels: dict[str, list[str]]) -> Column:
     it surfaces instead of being lost.
     """
     head = _head_pattern(labels)
-    rank = _sql_map(
-        {
-            label.upper(): (f << _LABEL_BITS) + l
-            for f, field in enumerate(V.FIELDS)
-            for l, label in enumerate(labels[field])
-        }
-    ).cast("map<string,bigint>")
+    ranks: dict[str, list[int]] = {}
+    for f, field in enumerate(V.FIELDS):
+        for l, label in enumerate(labels[field]):
+            ranks.setdefault(label.upper(), []).append((f << _LABEL_BITS) + l)
+    rank = _sql_map(ranks).cast("map<string,array<bigint>>")
     # Each step binds what the next one uses more than once: a lambda's variables are
     # values, while an expression repeated in it would be evaluated again.
     hits = F.array_compact(
@@ -188,14 +187,19 @@ def _codes(folded: Column, labels: dict[str, list[str]]) -> Column:
         ),
     )
 
-    def code(p):
+    def codes(p):
         form = F.when(p["rest"].rlike(ALONE_PATTERN), ALONE)
         for k in (COLON, WIDE, TIGHT):
             form = form.when(p["rest"].rlike(FORM_PATTERN[k]), k)
-        ranked = F.shiftleft(F.element_at(rank, F.upper(p["label"])), _FORM_BITS) + form.otherwise(NO_FORM)
-        return F.shiftleft(ranked, _LINE_BITS) + p["i"]
+        return F.struct(F.element_at(rank, F.upper(p["label"])).alias("ranks"), form.otherwise(NO_FORM).alias("form"), p["i"].alias("i"))
 
-    return F.transform(parted, code)
+    # A label that several fields share is a candidate for each of them.
+    return F.flatten(
+        F.transform(
+            F.transform(parted, codes),
+            lambda c: F.transform(c["ranks"], lambda r: F.shiftleft(F.shiftleft(r, _FORM_BITS) + c["form"], _LINE_BITS) + c["i"]),
+        )
+    )
 
 
 def _part(code: Column, shift: int, bits: int) -> Column:

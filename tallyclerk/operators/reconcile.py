@@ -123,15 +123,29 @@ def reconcile(
 
     Returns per key one `<field>_status`, `<field>_reason`, both values, and the record's
     `status` and `review_reason`.  Keys on one side only come out as NEEDS_REVIEW, not as
-    differences.  One join; everything else is projection.
+    differences.  So does a key that a side holds more than once ('repeated_key', one row,
+    no values of that side) and every row with a NULL in its key ('null_key', a row of its
+    own): neither can be paired.  Each side has a row per key before the join, so no key is
+    hot in it.
     """
     normalizers, tolerances = normalizers or {}, tolerances or {}
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
 
     def side(df, tag):
         made = [normalizers[f](F.col(f)) if f in normalizers else F.col(f) for f in fields]
         return df.select(*keys, *[c.alias(f"{f}_{tag}") for c, f in zip(made, fields)])
 
-    both = side(left, "a").join(side(right, "b"), keys, "full_outer")
+    def per_key(df, tag):
+        n = F.count("*")
+        only = [F.when(n == 1, F.first(f"{f}_{tag}")).alias(f"{f}_{tag}") for f in fields]
+        return df.filter(whole).groupBy(*keys).agg(*only, (n > 1).alias(f"_many_{tag}"))
+
+    a, b = side(left, "a"), side(right, "b")
+    both = per_key(a, "a").join(per_key(b, "b"), keys, "full_outer").withColumn("_null_key", F.lit(False))
+    for df in (a, b):
+        both = both.unionByName(df.filter(~whole).withColumn("_null_key", F.lit(True)), allowMissingColumns=True)
     for f in fields:
         a, b = F.col(f"{f}_a"), F.col(f"{f}_b")
         equal = (F.abs(a - b) <= F.lit(tolerances[f])) if f in tolerances else None
@@ -145,4 +159,10 @@ def reconcile(
             F.col(f"_{f}")["status"].alias(f"{f}_status"),
             F.col(f"_{f}")["reason"].alias(f"{f}_reason"),
         ]
-    return both.withColumn("_o", outcome).select(*columns, "_o.status", "_o.review_reason")
+    many = F.coalesce("_many_a", F.lit(False)) | F.coalesce("_many_b", F.lit(False))
+    odd = F.when(F.col("_null_key"), "null_key").when(many, "repeated_key")
+    return both.withColumn("_o", outcome).select(
+        *columns,
+        F.when(odd.isNotNull(), "NEEDS_REVIEW").otherwise(F.col("_o.status")).alias("status"),
+        F.coalesce(odd, F.col("_o.review_reason")).alias("review_reason"),
+    )

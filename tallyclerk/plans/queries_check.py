@@ -407,10 +407,10 @@ def has_source(spark, sf):
     return W.with_stored_source(inbox(spark, sf), stored).select("email_id")
 
 
-def _stored(spark, sf):
-    """Results as an earlier run left them: rejected outright, to be checked again."""
-    r = results(spark, sf)
-    return r.withColumn("status", F.lit("OLD")), r
+def _asked(ships, ids):
+    """The documents of the messages in `ids`, extracted; no other document is opened."""
+    chosen = K.messages(ships).join(ids.distinct(), "email_id", "left_semi")
+    return D.extract_documents(I.attachments_of(chosen, K.document_text(ships)))
 
 
 @query(
@@ -422,7 +422,7 @@ def reprocess_subset(spark, sf):
     docs = D.extract_documents(K.document_text(ships))
     old = I.check_messages(K.messages(ships), docs).withColumn("status", F.lit("OLD"))
     ids = read(spark, sf, "events").select(F.concat(F.lit("msg_"), F.col("user_id").cast("string")).alias("email_id"))
-    return I.recheck(old, K.messages(ships), docs, ids).select("email_id", "status")
+    return I.recheck(old, K.messages(ships), _asked(ships, ids), ids).select("email_id", "status")
 
 
 @query(
@@ -434,7 +434,7 @@ def reprocess_preserve(spark, sf):
     docs = D.extract_documents(K.document_text(ships))
     old = I.check_messages(K.messages(ships), docs).withColumn("status", F.lit("OLD"))
     ids = read(spark, sf, "events").select(F.concat(F.lit("msg_"), F.col("user_id").cast("string")).alias("email_id"))
-    again = I.recheck(old, K.messages(ships), docs, ids)
+    again = I.recheck(old, K.messages(ships), _asked(ships, ids), ids)
     return W.apply_reviews(again, W.valid_reviews(review_events(spark, sf))).select("email_id", "status")
 
 

@@ -138,7 +138,7 @@ RULE_CASE = "CASE " + " ".join(
 @query("rules_as_table", f"SELECT page_id, {RULE_CASE} AS rule FROM (SELECT page_id, upper(replace(trim(regexp_replace(html, '\\s+', ' ', 'g')), 'ß', 'ss')) AS b FROM pages)")
 def rules_as_table(spark, sf):
     pages = read(spark, sf, "pages").select("page_id", T.canonical("html").alias("canonical_body"))
-    hit = C.match_rules_table(pages, C.rules_table(spark))
+    hit = C.match_rules_table(pages, C.rules_table(spark), key="page_id")
     return hit.select("page_id", F.concat_ws(":", "rule.category", "rule.evidence").alias("rule")).withColumn(
         "rule", F.nullif("rule", F.lit(""))
     )

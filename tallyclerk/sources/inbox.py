@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,9 @@ def read_attachments(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _relative(path, root: str):
-    marker = "/" + root.strip("/").split("/")[-1] + "/attachments/"
-    return F.concat(F.lit("attachments/"), F.substring_index(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), marker, -1))
+    """What follows the first place where the whole root stands; file names are taken as they are."""
+    below = "/" + posixpath.normpath(root.partition("://")[2] or root.removeprefix("file:")).strip("/") + "/"
+    return F.substring(path, F.locate(below, path) + len(below), F.length(path))
 
 
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:

@@ -1,45 +1,86 @@
 """Keyed result tables on plain Parquet: append changes, read the latest.
 
-An upsert appends a partition; readers keep the newest row per key.  Nothing stored is
-rewritten while it may be read, and a repeated batch overwrites its own partition only,
-so lost executors and restarted streams leave one copy of each batch.
+An upsert appends a partition named by its writer and batch; readers keep the newest row
+per key.  Nothing stored is rewritten while it may be read, and a repeated batch overwrites
+its own partition only, so lost executors and restarted streams leave one copy of each
+batch, and two writers never meet.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Newest row per key.  Combined before the shuffle, so a hot key costs a row per task."""
+    """Newest row per key.  Combined before the shuffle, so a hot key costs a row per task.
+
+    Rows that tie in `order` are told apart by a hash of the row, so the choice never
+    depends on where a row was read.
+    """
     rest = [c for c in rows.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    tie = F.xxhash64(F.to_json(F.struct(*rest)))
+    newest = F.max_by(F.struct(*rest), F.struct(*order, tie.alias("_tie"))).alias("_row")
     return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*rows.columns)
 
 
+def writer_of(checkpoint: str) -> str:
+    """Writer name of a stream: one per checkpoint, so a new checkpoint never replaces old batches."""
+    return "s" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
 class ResultStore:
-    """Latest-wins table under `path`, one partition per batch."""
+    """Latest-wins table under `path`, one partition per writer and batch.
+
+    Partitions carry a version that grows with every new batch of any writer; the newest
+    row of a key is the one of the highest version.
+    """
+
+    MARKS = ["version", "writer", "batch"]
 
     def __init__(self, spark: SparkSession, path: str, key: str = "email_id"):
         self.spark, self.path, self.key = spark, path, key
 
-    def upsert(self, rows: DataFrame, batch: int) -> None:
-        """Write a batch.  Rows of later batches win; a batch written again replaces itself."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={int(batch)}")
+    def _version(self, writer: str, batch: int) -> int:
+        """The batch's own version if it was written before, else the next one."""
+        try:
+            marks = self.changes().select(*self.MARKS)
+        except AnalysisException:  # nothing stored yet
+            return 1
+        mine = F.when((F.col("writer") == writer) & (F.col("batch") == batch), F.col("version"))
+        found = marks.agg(F.max(mine).alias("mine"), F.max("version").alias("top")).first()
+        return found.mine if found.mine is not None else (found.top or 0) + 1
+
+    def upsert(self, rows: DataFrame, batch: int, writer: str = "main", order: list[str] | None = None) -> None:
+        """Write a batch.  Rows of later batches win; a batch written again replaces itself.
+
+        Within a batch the newest row of a key by the columns `order` is kept.
+        """
+        version = self._version(writer, int(batch))
+        one = latest(rows, [self.key], order or [])
+        one.withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(
+            f"{self.path}/writer={writer}/batch={int(batch)}"
+        )
 
     def changes(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
     def read(self) -> DataFrame:
-        return latest(self.changes(), [self.key], ["batch"]).drop("batch")
+        return latest(self.changes(), [self.key], self.MARKS).drop(*self.MARKS)
 
     def compact(self, path: str) -> ResultStore:
-        """Write the latest rows as batch 0 of a new table and return it; the old one stays."""
+        """Write the latest rows to a new table and return it; the old one stays.
+
+        They are a batch of a writer of their own, so no later batch takes their place.
+        """
         fresh = ResultStore(self.spark, path, self.key)
-        fresh.upsert(self.read(), 0)
+        fresh.upsert(self.read(), 0, "compacted")
         return fresh
 
     def replace(self, rows: DataFrame) -> None:
         """Snapshot: drop everything stored, then write.  `rows` must not read this table."""
-        rows.withColumn("batch", F.lit(0)).write.mode("overwrite").partitionBy("batch").parquet(self.path)
+        marked = rows.withColumns({"version": F.lit(1).cast("bigint"), "writer": F.lit("snapshot"), "batch": F.lit(0)})
+        marked.write.mode("overwrite").partitionBy("writer", "batch").parquet(self.path)

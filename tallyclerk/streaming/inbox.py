@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyclerk.operators.evaluate import status_counts
 from tallyclerk.plans.inbox import check_messages
 from tallyclerk.sources.inbox import MESSAGE_SCHEMA
-from tallyclerk.sources.store import ResultStore
+from tallyclerk.sources.store import ResultStore, latest, writer_of
 
 
 def read_message_stream(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
@@ -19,17 +19,25 @@ def read_message_stream(spark: SparkSession, root: str, files_per_batch: int | N
 
 
 def check_stream(
-    messages: DataFrame, documents: DataFrame, store: ResultStore, checkpoint: str, available_now: bool = True
+    messages: DataFrame,
+    documents: DataFrame,
+    store: ResultStore,
+    checkpoint: str,
+    available_now: bool = True,
+    order: list[str] | None = None,
 ):
     """Check arriving messages against stored documents and upsert results.
 
-    Every step of the check works on a micro-batch as it does on a table.  The batch id
-    names the partition written, so a batch repeated after a failure replaces itself.
+    Every step of the check works on a micro-batch as it does on a table.  The checkpoint
+    and the batch id name the partition written, so a batch repeated after a failure
+    replaces itself and no other.  Of several versions of a message in one batch the newest
+    by the columns `order` is checked.
     """
+    writer_name = writer_of(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.dropDuplicates(["email_id"])
-        store.upsert(check_messages(newest, documents), batch_id)
+        newest = latest(batch, ["email_id"], order or [])
+        store.upsert(check_messages(newest, documents), batch_id, writer_name)
 
     writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
