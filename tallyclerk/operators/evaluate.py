@@ -7,7 +7,7 @@ the same job.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyclerk import vocab as V
@@ -84,74 +84,98 @@ def errors(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
     return confusion(joined.filter("actual <> predicted"), run)
 
 
-def _values(df: DataFrame, name: str, values: tuple[str, ...], run: tuple[str, ...]) -> DataFrame:
-    """Every value of a fixed vocabulary for every run, so that empty ones show as zero."""
-    listed = F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
-    if run:
-        return df.select(*run).distinct().select(*run, listed)
-    return df.sparkSession.range(1).select(listed)
+def _class_sums(classes: tuple[str, ...]) -> list[Column]:
+    """True and false positives and false negatives of every class."""
+    out = []
+    for i, c in enumerate(classes):
+        is_actual, is_predicted = F.col("actual").eqNullSafe(c), F.col("predicted").eqNullSafe(c)
+        out += [
+            n_if(is_actual & is_predicted).alias(f"_tp_{i}"),
+            n_if(~is_actual & is_predicted).alias(f"_fp_{i}"),
+            n_if(is_actual & ~is_predicted).alias(f"_fn_{i}"),
+        ]
+    return out
 
 
-def per_class(joined: DataFrame, run: tuple[str, ...] = (), classes: tuple[str, ...] = V.CATEGORIES) -> DataFrame:
-    """TP/FP/FN and P/R/F1 of every class; false positives count only for known classes."""
-    cells = confusion(joined, run)
-    roles = F.when(
-        F.col("actual") == F.col("predicted"),
-        F.array(F.struct(F.col("actual").alias("category"), F.col("n").alias("tp"), F.lit(0).cast("bigint").alias("fp"), F.lit(0).cast("bigint").alias("fn"))),
-    ).otherwise(
-        F.array(
-            F.struct(F.col("actual").alias("category"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"), F.col("n").alias("fn")),
-            F.struct(F.col("predicted").alias("category"), F.lit(0).cast("bigint").alias("tp"), F.col("n").alias("fp"), F.lit(0).cast("bigint").alias("fn")),
-        )
-    )
-    rows = cells.select(*run, F.explode(roles).alias("r")).select(*run, "r.*")
-    sums = rows.groupBy(*run, "category").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
-    full = _values(cells, "category", classes, run).join(sums, [*run, "category"], "left")
-    return with_prf(full.na.fill(0, ["tp", "fp", "fn"]))
+def _class_f1(i: int) -> Column:
+    tp, fp, fn = (F.col(f"_{k}_{i}") for k in ("tp", "fp", "fn"))
+    return f1(ratio(tp, tp + fp), ratio(tp, tp + fn))
 
 
-def classification_score(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
-    """Accuracy, macro-F1 over all classes, and the share decided by rules."""
-    macro = per_class(joined, run).groupBy(*run).agg(F.avg("f1").alias("macro_f1"))
+def _total_sums() -> list[Column]:
     known = F.col("decided_by").isNotNull()
-    rest = joined.groupBy(*run).agg(
-        ratio(n_if(F.col("actual") == F.col("predicted")), F.count("*")).alias("accuracy"),
-        (n_if(F.col("decided_by") == "rule") / F.nullif(n_if(known), F.lit(0).cast("bigint"))).alias("rule_share"),
+    return [
+        n_if(F.col("actual") == F.col("predicted")).alias("_right"),
+        n_if(F.col("decided_by") == "rule").alias("_by_rule"),
+        n_if(known).alias("_known"),
         F.count("*").alias("n"),
-    )
-    return rest.join(macro, list(run), "inner") if run else rest.crossJoin(macro)
+    ]
 
 
-def defect_score(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
-    """Defect detection on comparable records: per record, per field, and exact sets."""
-    rows = joined.filter(
-        (F.col("actual") == V.COMPARISON_CATEGORY)
-        & ~F.coalesce(F.col("status") == "NEEDS_REVIEW", F.lit(False))
-    )
+def _defect_sums() -> list[Column]:
+    """Sums over comparable records; each flag tests that itself, so other sums can stand beside them."""
+    row = (F.col("actual") == V.COMPARISON_CATEGORY) & ~F.coalesce(F.col("status") == "NEEDS_REVIEW", F.lit(False))
+    said, has = F.col("p_has_defect") & F.col("routed"), F.col("has_defect")
+    gold = F.array_distinct("fields")
     found = F.when(F.col("routed"), F.array_distinct("p_fields")).otherwise(F.array().cast(EMPTY))
-    rows = rows.select(
-        *run,
-        "has_defect",
-        (F.col("p_has_defect") & F.col("routed")).alias("said"),
-        F.array_distinct("fields").alias("gold"),
-        found.alias("found"),
-    )
-    shared = F.size(F.array_intersect("found", "gold"))
-    sums = rows.groupBy(*run).agg(
-        n_if(F.col("has_defect") & F.col("said")).alias("tp"),
-        n_if(~F.col("has_defect") & F.col("said")).alias("fp"),
-        n_if(F.col("has_defect") & ~F.col("said")).alias("fn"),
-        F.coalesce(F.sum(shared), F.lit(0)).alias("field_tp"),
-        F.coalesce(F.sum(F.size("found") - shared), F.lit(0)).alias("field_fp"),
-        F.coalesce(F.sum(F.size("gold") - shared), F.lit(0)).alias("field_fn"),
-        n_if((F.size("found") == F.size("gold")) & (shared == F.size("gold"))).alias("exact"),
-        F.count("*").alias("doc_total"),
-    )
+    shared = F.size(F.array_intersect(found, gold))
+
+    def total(c):
+        return F.coalesce(F.sum(F.when(row, c)), F.lit(0))
+
+    return [
+        n_if(row & has & said).alias("tp"),
+        n_if(row & ~has & said).alias("fp"),
+        n_if(row & has & ~said).alias("fn"),
+        total(shared).alias("field_tp"),
+        total(F.size(found) - shared).alias("field_fp"),
+        total(F.size(gold) - shared).alias("field_fn"),
+        n_if(row & (F.size(found) == F.size(gold)) & (shared == F.size(gold))).alias("exact"),
+        n_if(row).alias("doc_total"),
+    ]
+
+
+def _end_to_end_sums() -> list[Column]:
+    row = (F.col("actual") == V.COMPARISON_CATEGORY) & F.col("has_defect")
+    exact = F.array_sort(F.array_distinct("p_fields")) == F.array_sort(F.array_distinct("fields"))
+    return [n_if(row & F.col("routed") & F.col("p_has_defect") & exact).alias("success"), n_if(row).alias("total")]
+
+
+def _with_classification(sums: DataFrame, classes: tuple[str, ...] = V.CATEGORIES) -> DataFrame:
+    macro = sum((_class_f1(i) for i in range(len(classes))), F.lit(0.0)) / len(classes)
+    share = F.col("_by_rule") / F.nullif(F.col("_known"), F.lit(0).cast("bigint"))
+    return sums.withColumns({"accuracy": ratio(F.col("_right"), F.col("n")), "rule_share": share, "macro_f1": macro})
+
+
+def _with_defects(sums: DataFrame) -> DataFrame:
     out = with_prf(sums, prefix="defect_")
     out = with_prf(out, "field_tp", "field_fp", "field_fn", "field_")
     return out.withColumn("exact_match_rate", ratio(F.col("exact"), F.col("doc_total")))
 
 
+def per_class(joined: DataFrame, run: tuple[str, ...] = (), classes: tuple[str, ...] = V.CATEGORIES) -> DataFrame:
+    """TP/FP/FN and P/R/F1 of every class; false positives count only for known classes.
+
+    One aggregation per run whatever the number of classes; classes become rows after it.
+    """
+    sums = joined.groupBy(*run).agg(*_class_sums(classes))
+    rows = F.array(
+        *[F.struct(F.lit(c).alias("category"), *[F.col(f"_{k}_{i}").alias(k) for k in ("tp", "fp", "fn")]) for i, c in enumerate(classes)]
+    )
+    return with_prf(sums.select(*run, F.explode(rows).alias("r")).select(*run, "r.*"))
+
+
+def classification_score(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
+    """Accuracy, macro-F1 over all classes, and the share decided by rules."""
+    sums = joined.groupBy(*run).agg(*_class_sums(V.CATEGORIES), *_total_sums())
+    return _with_classification(sums).select(*run, "accuracy", "rule_share", "n", "macro_f1")
+
+
+def defect_score(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
+    """Defect detection on comparable records: per record, per field, and exact sets."""
+    return _with_defects(joined.groupBy(*run).agg(*_defect_sums()))
+
+
 def escalation_score(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
     gold = F.col("status") == "NEEDS_REVIEW"
     said = F.col("p_status") == "NEEDS_REVIEW"
@@ -165,46 +189,61 @@ def escalation_score(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
     return with_prf(sums, prefix="escalation_")
 
 
-def per_reason(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
+def per_reason(joined: DataFrame, run: tuple[str, ...] = (), reasons: tuple[str, ...] = V.SCORED_REASONS) -> DataFrame:
     """Escalations wanted and caught for every scored reason."""
-    rows = joined.filter(F.col("status") == "NEEDS_REVIEW")
-    sums = rows.groupBy(*run, "review_reason").agg(
-        F.count("*").alias("total"), n_if(F.col("p_status") == "NEEDS_REVIEW").alias("caught")
+    gold = F.col("status") == "NEEDS_REVIEW"
+    sums = []
+    for i, r in enumerate(reasons):
+        wanted = gold & (F.col("review_reason") == r)
+        sums += [n_if(wanted).alias(f"_total_{i}"), n_if(wanted & (F.col("p_status") == "NEEDS_REVIEW")).alias(f"_caught_{i}")]
+    rows = F.array(
+        *[F.struct(F.lit(r).alias("review_reason"), F.col(f"_total_{i}").alias("total"), F.col(f"_caught_{i}").alias("caught")) for i, r in enumerate(reasons)]
     )
-    full = _values(joined, "review_reason", V.SCORED_REASONS, run).join(sums, [*run, "review_reason"], "left")
-    return full.na.fill(0, ["total", "caught"])
+    return joined.groupBy(*run).agg(*sums).select(*run, F.explode(rows).alias("r")).select(*run, "r.*")
 
 
 def end_to_end_score(joined: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
     """Records with a planted defect that were routed, flagged, and named field for field."""
-    rows = joined.filter((F.col("actual") == V.COMPARISON_CATEGORY) & F.col("has_defect"))
-    exact = F.array_sort(F.array_distinct("p_fields")) == F.array_sort(F.array_distinct("fields"))
-    sums = rows.groupBy(*run).agg(
-        n_if(F.col("routed") & F.col("p_has_defect") & exact).alias("success"),
-        F.count("*").alias("total"),
-    )
+    sums = joined.groupBy(*run).agg(*_end_to_end_sums())
     return sums.withColumn("rate", ratio(F.col("success"), F.col("total")))
 
 
 def final_score(joined: DataFrame, run: tuple[str, ...] = (), weights: dict[str, float] | None = None) -> DataFrame:
     """Weighted score and its parts; one row, or one per run.
 
-    `joined` is read three times; persist it, or write it out, when it is costly.
+    All parts are sums of flags of one aggregation, so `joined` is read once.
     """
     w = {**V.SCORE_WEIGHTS, **(weights or {})}
-    a = classification_score(joined, run).select(*run, "accuracy", "macro_f1", "n")
-    b = defect_score(joined, run).select(*run, "defect_precision", "defect_recall", "defect_f1", "field_f1")
-    c = end_to_end_score(joined, run).select(*run, "success", "total", F.col("rate").alias("end_to_end"))
-    if run:
-        out = a.join(b, list(run), "left").join(c, list(run), "left")
-    else:
-        out = a.crossJoin(b).crossJoin(c)
-    zero = ["defect_precision", "defect_recall", "defect_f1", "field_f1", "success", "total", "end_to_end"]
-    out = out.na.fill(0, zero)
+    sums = joined.groupBy(*run).agg(*_class_sums(V.CATEGORIES), *_total_sums(), *_defect_sums(), *_end_to_end_sums())
+    out = _with_defects(_with_classification(sums)).withColumn("end_to_end", ratio(F.col("success"), F.col("total")))
+    out = out.select(
+        *run, "accuracy", "macro_f1", "n", "defect_precision", "defect_recall", "defect_f1", "field_f1", "success", "total", "end_to_end")
     total = sum(F.col(name) * F.lit(weight) for name, weight in w.items())
     return out.withColumn("final_score", total)
 
 
+def run_record(results: DataFrame, score: DataFrame, dataset: str, seed: int | None = None, **more) -> DataFrame:
+    """One row for a scored run: its counts, labels, and the whole evaluation as a struct.
+
+    `score` has one row, such as `final_score` gives; `more` are further constant columns
+    (requested_n, llm_enabled, rules_score).
+    """
+    labels = {"dataset": F.lit(dataset), "seed": F.lit(seed).cast("bigint"), **{k: F.lit(v) for k, v in more.items()}}
+    counts = status_counts(results).withColumnRenamed("total", "processed")
+    evaluation = score.select(F.struct(*[F.col(c) for c in score.columns]).alias("evaluation"))
+    # Both sides are one row by construction: aggregates without grouping.
+    both = counts.withColumn("_one", F.lit(1)).join(evaluation.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return both.withColumns({**labels, "created_at": F.current_timestamp()})
+
+
+def newest(rows: DataFrame, order: str, n: int = 5, most: int = 50) -> DataFrame:
+    """The newest rows by an order column; n is brought into 1..most.
+
+    Each task keeps its own n rows, so only those meet.
+    """
+    return rows.orderBy(F.desc(order)).limit(max(1, min(int(n), most)))
+
+
 def metrics_long(scores: DataFrame, metrics: list[str], *keep: str) -> DataFrame:
     """One row per metric of a wide score table."""
     return scores.unpivot(list(keep), metrics, "metric", "value")
@@ -224,15 +263,14 @@ def metric_delta(before: DataFrame, after: DataFrame, tolerance: float = 1e-9) -
 def headroom(metrics: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Points still available per weighted metric and their share of all of them.
 
-    `metrics` has one row per metric of a short fixed list, so the total is a small join.
+    `metrics` has one row per metric of a short fixed list, so the total is a sum over a few rows.
     """
     w = weights or V.SCORE_WEIGHTS
     weight = F.coalesce(*[F.when(F.col("metric") == k, F.lit(v)) for k, v in w.items()])
     points = metrics.withColumn("points", (1 - F.col("value")) * weight).filter(F.col("points").isNotNull())
-    total = points.agg(F.sum("points").alias("_total"))
-    return points.crossJoin(F.broadcast(total)).select(
-        "metric", "points", F.when(F.col("_total") > 0, F.col("points") / F.col("_total") * 100).otherwise(0.0).alias("share")
-    )
+    whole = Window.partitionBy(F.lit(0))  # a handful of metrics
+    total = F.sum("points").over(whole)
+    return points.select("metric", "points", F.when(total > 0, F.col("points") / total * 100).otherwise(0.0).alias("share"))
 
 
 def run_diff(truth: DataFrame, a: DataFrame, b: DataFrame, key: str = "email_id") -> DataFrame:

@@ -55,6 +55,13 @@ def scored(spark, sf):
     return E.score_join(t, sub)
 
 
+def checked(spark, sf):
+    """Truth joined to what the check itself reports on the rendered texts."""
+    ships = K.shipments(spark, sf)
+    r = I.check_messages(K.messages(ships), D.extract_documents(K.document_text(ships)))
+    return E.score_join(K.truth(ships), I.submission(r))
+
+
 # ---- classification ------------------------------------------------------------------
 EVIDENCE = """CASE kind WHEN 'one_doc' THEN 'SEND THE DRAFT BL' WHEN 'silent' THEN 'has attachments' WHEN 'invoice_trap' THEN 'INVOICE'
  WHEN 'si_request' THEN 'PLEASE FIND SHIPPING INSTRUCTION' WHEN 'invoice' THEN 'QUERY ON INVOICE' WHEN 'general' THEN 'BERTHING REPORT'
@@ -501,7 +508,7 @@ def rounded(df, *cols):
 
 @query("per_class", with_(SHIP_SQL + ",\n" + CLASS_SQL, "SELECT category, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f"))
 def per_class(spark, sf):
-    return rounded(E.per_class(scored(spark, sf)), "precision", "recall", "f1")
+    return rounded(E.per_class(checked(spark, sf)), "precision", "recall", "f1")
 
 
 @query("macro_f1", with_(SHIP_SQL + ",\n" + CLASS_SQL, "SELECT round(avg(f1), 6) AS macro_f1, (SELECT round(avg(CAST(actual = predicted AS INT)), 6) FROM scored) AS accuracy FROM f"))
@@ -542,7 +549,7 @@ ESC = """e AS (SELECT count(*) FILTER (t_status = 'NEEDS_REVIEW' AND p_status =
 
 @query("escalation", with_(SHIP_SQL + ",\n" + ESC, "SELECT gold_review, pred_review, round(tp / gold_review, 6) AS escalation_recall, round(tp / pred_review, 6) AS escalation_precision FROM e"))
 def escalation(spark, sf):
-    s = rounded(E.escalation_score(scored(spark, sf)), "escalation_recall", "escalation_precision")
+    s = rounded(E.escalation_score(checked(spark, sf)), "escalation_recall", "escalation_precision")
     return s.select("gold_review", "pred_review", "escalation_recall", "escalation_precision")
 
 
@@ -552,7 +559,7 @@ _REASONS = "[" + ", ".join(f"'{c}'" for c in V.SCORED_REASONS) + "]"
 @query("per_reason", with_(SHIP_SQL, f"""SELECT r AS review_reason, count(review_reason) AS total, count(review_reason) FILTER (p_status = 'NEEDS_REVIEW') AS caught
     FROM (SELECT unnest({_REASONS}) AS r) LEFT JOIN (SELECT * FROM scored WHERE t_status = 'NEEDS_REVIEW') ON r = review_reason GROUP BY r"""))
 def per_reason(spark, sf):
-    return E.per_reason(scored(spark, sf))
+    return E.per_reason(checked(spark, sf))
 
 
 FINAL = CLASS_SQL + ",\n" + DEFECT_SCORE + """,
@@ -562,14 +569,12 @@ parts AS (SELECT (SELECT avg(f1) FROM f) AS macro_f1, (SELECT 2 * tp / (2 * tp +
 
 @query("end_to_end", with_(SHIP_SQL + ",\n" + FINAL, "SELECT success, total, round(success / total, 6) AS rate FROM x"))
 def end_to_end(spark, sf):
-    ships = K.shipments(spark, sf)
-    r = I.check_messages(K.messages(ships), D.extract_documents(K.document_text(ships)))
-    return rounded(E.end_to_end_score(E.score_join(K.truth(ships), I.submission(r))), "rate")
+    return rounded(E.end_to_end_score(checked(spark, sf)), "rate")
 
 
 @query("final_score", with_(SHIP_SQL + ",\n" + FINAL, "SELECT round(macro_f1, 6) AS macro_f1, round(defect_f1, 6) AS defect_f1, round(end_to_end, 6) AS end_to_end, round(0.3 * macro_f1 + 0.2 * defect_f1 + 0.5 * end_to_end, 6) AS final_score FROM parts"))
 def final_score(spark, sf):
-    s = rounded(E.final_score(scored(spark, sf)), "macro_f1", "defect_f1", "end_to_end", "final_score")
+    s = rounded(E.final_score(checked(spark, sf)), "macro_f1", "defect_f1", "end_to_end", "final_score")
     return s.select("macro_f1", "defect_f1", "end_to_end", "final_score")
 
 

@@ -431,8 +431,7 @@ def upsert_latest(spark, sf):
 
 @query("latest_runs", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
 def latest_runs(spark, sf):
-    wanted = max(1, min(500, 50))
-    return read(spark, sf, "events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(wanted)
+    return E.newest(read(spark, sf, "events").select("event_id", "event_type"), "event_id", 500)
 
 
 @query(

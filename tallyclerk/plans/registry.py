@@ -36,7 +36,7 @@ base AS (SELECT o.o_orderkey AS k, coalesce(li.n_items, 0) AS n_items, kg, s_nam
          LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey
          LEFT JOIN region cr ON cn.n_regionkey = cr.r_regionkey),
 kinds AS (SELECT *, {K.KIND_SQL} AS kind, {K.DEFECT_SQL} AS defect FROM base),
-ship AS (SELECT *, 'msg_' || k AS email_id,
+ship AS MATERIALIZED (SELECT *, 'msg_' || k AS email_id,
   CASE WHEN kind IN ('pair', 'silent') THEN defect END AS planted,
   CASE kind WHEN 'si_request' THEN 'SI_REQUEST' WHEN 'invoice' THEN 'INVOICE_QUERY'
     WHEN 'invoice_trap' THEN 'INVOICE_QUERY' WHEN 'general' THEN 'GENERAL' WHEN 'quiet_general' THEN 'GENERAL'
@@ -129,7 +129,7 @@ def _side_sql(side: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-FIELDS_SQL = f"{SHIP_SQL},\nfields AS ({_side_sql('SI')} UNION ALL {_side_sql('BL')})"
+FIELDS_SQL = f"{SHIP_SQL},\nfields AS MATERIALIZED ({_side_sql('SI')} UNION ALL {_side_sql('BL')})"
 COMPARED_SQL = f"""{FIELDS_SQL},
 cmp AS (SELECT s.k, s.email_id, s.kind, s.field_no, s.field, s.value AS si_value, b.value AS bl_value, s.raw AS si_raw,
   b.raw AS bl_raw, s.line AS si_line, b.line AS bl_line, s.label_seen AS si_label, b.label_seen AS bl_label,
@@ -137,7 +137,7 @@ cmp AS (SELECT s.k, s.email_id, s.kind, s.field_no, s.field, s.value AS si_value
     ELSE 'mismatch' END AS status,
   CASE WHEN s.value IS NULL THEN 'value not found in the SI' WHEN s.kind = 'scanned' THEN 'extracted with low confidence'
     END AS reason
-  FROM fields s JOIN fields b USING (email_id, field) WHERE s.side = 'SI' AND b.side = 'BL'
+  FROM fields s JOIN fields b USING (k, field_no) WHERE s.side = 'SI' AND b.side = 'BL'
   AND s.kind IN ('pair', 'silent', 'blank_weight', 'scanned'))"""
 
 
