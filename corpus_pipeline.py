@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans that occur earlier; documents of which nothing is left go."""
-    done = suffix_dedup.dedup(docs.select(*COLUMNS))
+    done = suffix_dedup.dedup(docs.select("doc_id", "text", "lang", "source"))
     left = done.filter((F.col("n_removed") == 0) | (F.col("kept_text") != ""))
     changed = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return left.select("doc_id", changed.alias("text"), "lang", "source", F.length(changed).cast("bigint").alias("n_chars"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 LENGTH, GRAM = 100, 24  # the hash below takes three words of 8 bytes
 ADDED = "kept kept_text n_bytes n_removed n_spans".split()
 #: Bytes of stretches in one suffix array.
-SHARD = 3 << 20
+SHARD = 1 << 20
 _CHUNK = (1 << 20) - 256
 _LOW = np.uint64((1 << 20) - 1)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -241,9 +241,13 @@ def shard_spans(texts: list[bytes], doc: np.ndarray, start: np.ndarray, count: n
         at = to
 
 
-def removed_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, begins, ends): bytes to remove, joined intervals in order; doc is the smallest bigint for a null doc_id."""
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.col("text").cast("binary").alias("text"))
+def _removed(keyed: DataFrame, key: str, length: int) -> DataFrame:
+    """(doc, begins, ends): bytes to remove of each document of `keyed`, whose key column is not null.
+
+    The documents are dealt by key here with all their columns, just as the caller does to cut
+    them, so Spark shuffles the texts once for both.
+    """
+    texts = keyed.select(F.col(key).alias("doc"), F.col("text").cast("binary").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A row per anchor; one of each hash in the batch asks whether others have it too.
@@ -265,7 +269,7 @@ def removed_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = texts.mapInArrow(find, "key bigint, doc bigint, place int, asks boolean, known boolean")
     others = F.count("*").over(Window.partitionBy("key", "asks"))
     repeated = asked.withColumn("n", others).filter((F.col("asks") & (F.col("n") > 1)) | F.col("known"))
-    wanted = repeated.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    wanted = repeated.groupBy("doc").agg(F.collect_list("place").alias("places")).select(F.col("doc").alias(f"{key}doc"), F.col("places").alias(f"{key}places"))
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +304,9 @@ def removed_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["key", "stretch", "doc", "start", "count"],
             )
 
-    stretches = texts.join(wanted, "doc").select("doc", "text", "places").mapInArrow(stretch, "key bigint, stretch binary, doc bigint, start bigint, count bigint")
+    with_places = keyed.join(wanted, F.col(key) == F.col(f"{key}doc"))
+    rest = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keyed.columns) if c not in (key, "text")]
+    stretches = with_places.select(F.col(key).alias("doc"), F.col("text").cast("binary").alias("text"), F.col(f"{key}places").alias("places"), *rest).mapInArrow(stretch, "key bigint, stretch binary, doc bigint, start bigint, count bigint")
     dealt = stretches.repartition("key").sortWithinPartitions("key", "doc", "start")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +377,8 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     others = [F.col(f"`{c}`") for c in documents.columns if c not in ADDED]
     own = "_sa" + "_" * max(map(len, documents.columns))  # longer than any name that is there
-    spans = removed_spans(documents, length).select(F.col("doc").alias(own), F.col("begins").alias(f"{own}begins"), F.col("ends").alias(f"{own}ends"))
     keyed = documents.select(*others, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias(own))
+    spans = _removed(keyed, own, length).select(F.col("doc").alias(own), F.col("begins").alias(f"{own}begins"), F.col("ends").alias(f"{own}ends"))
     joined = keyed.join(spans, own, "left")
     cut = F.pandas_udf(_cut, "struct<kept:binary,kept_text:string,n_removed:bigint,n_spans:bigint>")
     done = joined.select(*others, cut(F.col("text").cast("binary"), f"{own}begins", f"{own}ends").alias(f"{own}cut"))
