@@ -103,21 +103,25 @@ def extract_documents(
     labels: dict[str, list[str]] | None = None,
     exact_unicode: bool = True,
     recovered: bool = False,
+    normalizers: dict | None = None,
 ) -> DataFrame:
     """(path, text, method, readable, warnings) to one extracted document per row.
 
+    Every field says which `file` it was looked for in.
+
     With `recovered`, the input also carries `guesses`: array of (field, raw, confidence)
     from a model, used only for fields the rules left empty.  The text itself is not kept,
     so everything after this step moves a few hundred bytes per document.
     """
     readable = F.col("readable") & (strip(F.coalesce("text", F.lit(""))) != "")
     docs = document_text.withColumn("readable", readable)
-    docs = extract_fields(docs, "text", F.col("readable"), labels, exact_unicode)
+    docs = extract_fields(docs, "text", F.col("readable"), labels, exact_unicode, normalizers=normalizers)
     kind = F.when(F.col("readable"), doc_type("text")).otherwise("UNKNOWN")
     docs = docs.withColumn("doc_type", kind).drop("text")
     if recovered:
         docs = docs.withColumn("fields", fill_missing(F.col("fields"), F.col("guesses"))).drop("guesses")
     docs = docs.withColumn("fields", cap_recognised(F.col("fields"), F.col("method")))
+    docs = docs.withColumn("fields", F.transform("fields", lambda f: f.withField("file", F.col("path"))))
     absent = missing_fields(F.col("fields"))
     warning = F.when(
         F.col("readable") & (F.size(absent) > 0),
@@ -182,6 +186,34 @@ def fill_missing(fields: Column, guesses: Column) -> Column:
     return F.when(guesses.isNull(), fields).otherwise(F.transform(fields, pick))
 
 
+def ask_missing(documents: DataFrame, model: Callable[[str, list[str]], dict], text: str = "text", fields: str = "fields") -> DataFrame:
+    """Add `guesses`: what a model reads for the fields the rules left empty.
+
+    `model` is called on the executors, in Arrow batches, with a document's text and the
+    names of its missing fields, and returns {field: (value, confidence)}.  Documents with
+    nothing missing are not shown to it; a call that fails guesses nothing.
+    """
+
+    @F.pandas_udf("array<struct<field:string,raw:string,confidence:double>>")
+    def ask(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for t, names in zip(texts, wanted):
+            if t is None or names is None or not len(names):
+                out.append(None)
+                continue
+            try:
+                said = model(t, list(names))
+            except Exception:  # the rules' answer stands
+                out.append(None)
+                continue
+            out.append([{"field": f, "raw": None if v is None else str(v), "confidence": float(c)} for f, (v, c) in said.items() if f in names])
+        return pd.Series(out, dtype=object)
+
+    absent = missing_fields(F.col(fields))
+    open_case = F.size(absent) > 0
+    return documents.withColumn("guesses", ask(F.when(open_case, F.col(text)), F.when(open_case, absent)))
+
+
 def field_rows(extracted: DataFrame, *keep: str) -> DataFrame:
     """Long form: one row per (document, field)."""
     rows = extracted.select(*(keep or ("path",)), F.explode("fields").alias("_f"))

@@ -382,7 +382,7 @@ def _entry(field: Column, r: Column, value: Column) -> Column:
     )
 
 
-def _contest(found: Column) -> Column:
+def _contest(found: Column, normalizers: dict | None = None) -> Column:
     """Winners per field among all candidates, each normalised."""
     # Only the first line a label stands alone on may offer a wrapped value.
     allowed = F.filter(
@@ -400,7 +400,7 @@ def _contest(found: Column) -> Column:
     valued = F.transform(
         allowed,
         lambda c: F.struct(
-            c.alias("c"), is_blank(c["raw"]).alias("blank"), normalize(F.get(names, c["f"]), c["raw"]).alias("value")
+            c.alias("c"), is_blank(c["raw"]).alias("blank"), normalize(F.get(names, c["f"]), c["raw"], normalizers).alias("value")
         ),
     )
     # a placeholder after a label ends the search; a value that cannot be used does not
@@ -415,6 +415,7 @@ def extract_fields(
     exact_unicode: bool = True,
     into: str = "fields",
     always_thorough: bool = False,
+    normalizers: dict | None = None,
 ) -> DataFrame:
     """Add `into`: one entry per field, in field order, for every readable document.
 
@@ -425,7 +426,8 @@ def extract_fields(
 
     Most documents are settled by the leading candidate of each field.  Only those where
     one of them turns out unusable have all candidates built and contested, which
-    `always_thorough` forces; the outcome is the same.
+    `always_thorough` forces; the outcome is the same.  `normalizers` (field -> function of
+    a column) take the place of the built-in ones.
     """
     labels = labels or V.distinct_labels()
     body = F.coalesce(F.col(text), F.lit(""))
@@ -438,7 +440,7 @@ def extract_fields(
     ).drop("_source")
     names = F.expr(_sql(list(V.FIELDS)))
 
-    if always_thorough or not _ordered_by_length(labels):
+    if always_thorough or normalizers or not _ordered_by_length(labels):
         step = step.withColumn("_lead", F.lit(None).cast("array<string>"))
         doubtful, quick = F.col("_raw").isNotNull(), None
     else:
@@ -448,7 +450,7 @@ def extract_fields(
         quick = F.transform("_lead", lambda x, i: _entry(F.get(names, i), x["r"], x["value"]))
 
     step = step.withColumn("_found", F.when(doubtful, _candidates(F.col("_raw"), F.col("_folded"), labels)))
-    step = step.withColumn("_valid", _contest(F.col("_found"))).drop("_found")
+    step = step.withColumn("_valid", _contest(F.col("_found"), normalizers)).drop("_found")
     def winner(f):
         return F.array_min(F.filter("_valid", lambda v: v["c"]["f"] == f))
 

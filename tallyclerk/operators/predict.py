@@ -22,6 +22,7 @@ BATCH_LIMITS = {"subject": 160, "body": 700}
 UNKNOWN_SENDER = "(unknown)"
 
 PROMPT = "FROM: {sender}\nSUBJECT: {subject}\nBODY:\n{body}\n"
+BATCH_ENTRY = "--- id: {id}\nFROM: {sender}\nSUBJECT: {subject}\nBODY: {body}"
 
 
 def render_prompt(
@@ -41,6 +42,21 @@ def render_prompt(
     return F.concat(*_template(template, sender=shown_sender, subject=shown_subject, body=shown_body))
 
 
+def batch_prompts(pending: DataFrame, key: str = "email_id", size: int = V.BATCH_SIZE, template: str = "{emails}", rows_per_bucket: int = 20_000) -> DataFrame:
+    """One prompt for up to `size` messages: (bucket, batch, ids, prompt).
+
+    Each message is shown shortened under its id; a batch holds `size` of them at most, so
+    what is gathered is bounded.
+    """
+    shown = render_prompt("from", "subject", "body", BATCH_ENTRY.replace("{id}", "\x00"), BATCH_LIMITS)
+    entry = F.replace(shown, F.lit("\x00"), F.col(key).cast("string"))
+    rows = pack_batches(pending.withColumn("_entry", entry), key, size, rows_per_bucket=rows_per_bucket)
+    batch = rows.groupBy("bucket", "batch").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), "_entry"))).alias("_rows"))
+    before, _, after = template.partition("{emails}")
+    text = F.array_join(F.transform("_rows", lambda r: r["_entry"]), "\n\n")
+    return batch.select("bucket", "batch", F.transform("_rows", lambda r: r["id"]).alias("ids"), F.concat(F.lit(before), text, F.lit(after)).alias("prompt"))
+
+
 def with_prompt(messages: DataFrame, template: str = PROMPT, legacy_prefix: str | None = None) -> DataFrame:
     """Add `prompt`, its cache key, and the key older entries were stored under.
 
@@ -58,8 +74,7 @@ def with_prompt(messages: DataFrame, template: str = PROMPT, legacy_prefix: str
 def cached_answers(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     """Left-join cached answers by current key, then by legacy key.
 
-    `cache` is unique by prompt_key.  Both keys are looked up in one pass: the two
-    candidate keys become rows, so the cache is shuffled once.
+    `cache` is unique by prompt_key; the older key costs a second join.
     """
     entries = cache.select("prompt_key", F.struct("category", "confidence").alias("_answer"))
     out = prompts.join(entries, "prompt_key", "left")
@@ -79,15 +94,20 @@ def cache_misses(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     return out
 
 
-def pack_batches(rows: DataFrame, key: str, size: int = V.BATCH_SIZE, buckets: int = 4096) -> DataFrame:
+def pack_batches(
+    rows: DataFrame, key: str, size: int = V.BATCH_SIZE, buckets: int | None = None, rows_per_bucket: int = 20_000
+) -> DataFrame:
     """Number rows into request batches of at most `size`: (bucket, batch).
 
     Rows spread over buckets by a hash of their unique key, and are numbered within a
-    bucket, so no task ever sorts more than its share.  At most `buckets` batches are
-    short.
+    bucket, so no task ever sorts more than its share.  At most one batch of a bucket is
+    short.  Unless told, there are as many buckets as keep each near `rows_per_bucket`.
     """
     from pyspark.sql import Window
 
+    if buckets is None:
+        buckets = max(1, -(-rows.count() // rows_per_bucket))
+
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 6), 16, 10).cast("bigint")
     out = rows.withColumn("bucket", F.pmod(digest, F.lit(buckets)))
     order = Window.partitionBy("bucket").orderBy(key)
@@ -156,13 +176,16 @@ def lenient_json(text: Column | str) -> Column:
     return F.when(parses(bare), bare).when(parses(first), first)
 
 
-def explode_reply(replies: DataFrame, reply: str, *keep: str) -> DataFrame:
+def explode_reply(replies: DataFrame, reply: str, *keep: str, asked: str | None = None) -> DataFrame:
     """Rows (id, category, confidence, why) of a reply holding one object per id.
 
-    Entries with an unknown category are dropped; confidence is checked and clamped.
+    Entries with an unknown category are dropped, and so are ids that are not in the array
+    column `asked`; confidence is checked and clamped.
     """
     entry = "struct<category:string,confidence:string,why:string>"
     parsed = F.from_json(lenient_json(reply), f"map<string,{entry}>")
+    if asked:
+        parsed = F.map_filter(parsed, lambda k, _: F.array_contains(F.col(asked).cast("array<string>"), k))
     rows = replies.select(*keep, F.explode(parsed).alias("id", "_e"))
     answer = validated_answer(F.col("_e")["category"], F.col("_e")["confidence"])
     return (

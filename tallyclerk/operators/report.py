@@ -99,12 +99,17 @@ def highlights(results: DataFrame, sides: tuple[str, ...] = ("si", "bl")) -> Dat
     return rows.filter(F.col("line") >= 1)
 
 
-def highlighted_lines(results: DataFrame, document_text: DataFrame) -> DataFrame:
-    """Numbered document lines with the verdicts drawn from each.
+def highlighted_lines(results: DataFrame, document_text: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Numbered lines of whole documents with the verdicts drawn from each.
 
-    Both sides of the join already carry the document: a result holds at most one entry
-    per field and side, so the entries ride along in an array and no line is shuffled.
+    Texts are joined by path, so give the `ids` (email_id) to be shown where they are few:
+    then only their documents are joined.  `marked_lines` needs no text at all.
     """
+    if ids is not None:
+        results = results.join(ids.select("email_id").distinct(), "email_id", "left_semi")
+        paths = results.select(F.explode(F.array("si.path", "bl.path")).alias("path")).distinct()
+        document_text = document_text.join(paths, "path", "left_semi")
+
     def entry(side):
         def mark(c):
             return F.struct(c[side]["line"].alias("line"), c["field"].alias("field"), c["status"].alias("status"))
@@ -127,6 +132,56 @@ def highlighted_lines(results: DataFrame, document_text: DataFrame) -> DataFrame
     )
 
 
+def marked_lines(results: DataFrame) -> DataFrame:
+    """Only the lines values were read from, with their text as the extraction kept it.
+
+    Everything comes from the record, so no document text is read or shuffled.
+    """
+    def entries(side):
+        def entry(c):
+            return F.struct(
+                F.lit(side).alias("which"), c[side]["line"].alias("line"), c[side]["snippet"].alias("line_text"),
+                F.concat_ws(":", c["field"], c["status"]).alias("mark"))
+
+        return F.transform("comparisons", entry)
+
+    rows = F.flatten(F.array(entries("si"), entries("bl")))
+    found = results.select("email_id", F.explode(rows).alias("r")).select("email_id", "r.*")
+    return found.filter(F.col("line") >= 1)
+
+
+def validation_summary(run: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """A scored run (see `evaluate.run_record`) as rows (section, name, value), for JSON or CSV.
+
+    `snapshot` is the one-row status count of the records stored now.
+    """
+    e = F.col("evaluation")
+    have = run.schema["evaluation"].dataType.fieldNames()
+
+    def text(c):
+        return c.cast("string")
+
+    def of_run(*names):
+        return [(n, text(F.col(n)) if n in run.columns else F.lit(None).cast("string")) for n in names]
+
+    def of_evaluation(**names):
+        return [(shown, text(e[n]) if n in have else F.lit(None).cast("string")) for shown, n in names.items()]
+
+    sections = {
+        "selected_run": of_run("dataset", "seed", "created_at", "llm_enabled"),
+        "volume": of_run("requested_n", "processed", "ok", "mismatches", "needs_review"),
+        "validation_scores": of_run("rules_score") + of_evaluation(
+            final_score="final_score", classification_macro_f1="macro_f1", defect_f1="defect_f1", end_to_end_rate="end_to_end",
+            defect_precision="defect_precision", defect_recall="defect_recall", end_to_end_success="success", end_to_end_total="total"),
+    }
+
+    def rows(listed):
+        return F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), v.alias("value")) for s, xs in listed.items() for n, v in xs])
+
+    now = {"dashboard_snapshot": [(n, text(F.col(n))) for n in ("total", "ok", "mismatches", "needs_review")]}
+    return run.select(F.explode(rows(sections)).alias("r")).select("r.*").union(snapshot.select(F.explode(rows(now)).alias("r")).select("r.*"))
+
+
 def first_mismatch(results: DataFrame, side: str = "bl") -> DataFrame:
     """First line of a document a mismatching value was read from."""
     lines = F.transform(

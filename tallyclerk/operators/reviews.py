@@ -65,9 +65,19 @@ def apply_reviews(results: DataFrame, log: DataFrame, recompute: bool = False) -
     Any review settles a record: status OK, no reason.  A correction is put on the
     comparison of its field, or into `human_corrections` where the record has no such
     comparison.  Verdicts, `has_defect` and `defect_fields` stay as they were checked,
-    unless `recompute` clears the two for settled records.
+    unless `recompute` clears the two for settled records.  Each review adds its note to
+    `notes`, in the order of the ids; the notes are part of the record.
     """
-    step = results.join(_fold(log), "email_id", "left")
+    notes = (
+        review_notes(results, log)
+        .groupBy("email_id")
+        .agg(F.sort_array(F.collect_list(F.struct("id", "note"))).alias("_said"))
+    )
+    step = results.join(_fold(log), "email_id", "left").join(notes, "email_id", "left")
+    step = step.withColumn(
+        "notes",
+        F.when(F.col("_said").isNull(), F.col("notes")).otherwise(F.concat("notes", F.transform("_said", lambda n: n["note"]))),
+    ).drop("_said")
     fixes = F.coalesce(F.col("_corrections"), F.create_map().cast("map<string,string>"))
     settled = F.col("reviews").isNotNull()
     has = F.transform("comparisons", lambda c: c["field"])
@@ -112,6 +122,17 @@ def review_notes(results: DataFrame, log: DataFrame) -> DataFrame:
     )
 
 
+def append_reviews(log: DataFrame, path: str) -> None:
+    """Add the valid reviews of `log` (id, email_id, field, corrected_value, action) to a stored log.
+
+    A log is only ever appended to; `created_at` is now where the rows do not say.
+    """
+    rows = valid_reviews(log)
+    stamp = F.col("created_at") if "created_at" in log.columns else F.lit(None).cast("timestamp")
+    rows = rows.withColumn("created_at", F.coalesce(stamp, F.current_timestamp()))
+    rows.write.mode("append").parquet(path)
+
+
 def review_history(log: DataFrame, email_id) -> DataFrame:
     return log.filter(F.col("email_id") == email_id).orderBy("id")
 

@@ -144,10 +144,12 @@ def extract_fields(spark, sf):
     return _field_rows(spark, sf).select("email_id", "side", "field", "value", "raw", "confidence", "method")
 
 
-@query("provenance", with_(FIELDS_SQL, "SELECT email_id, side, field, CAST(line AS INTEGER) AS line, label_seen, line >= 1 AS shown FROM fields"))
+@query("provenance", with_(FIELDS_SQL, "SELECT email_id, side, field, 'attachments/' || email_id || '_' || side AS file, CAST(line AS INTEGER) AS line, label_seen, line >= 1 AS shown FROM fields"))
 def provenance(spark, sf):
-    shown = F.col("snippet") != ""
-    return _field_rows(spark, sf).select("email_id", "side", "field", "line", "label_seen", shown.alias("shown"))
+    """Where each value was read: the snippet of its line holds what was captured."""
+    shown = F.contains("snippet", F.coalesce("raw", F.lit(""))) & (F.col("snippet") != "")
+    file = F.regexp_replace("file", r"\.[a-z]+$", "")
+    return _field_rows(spark, sf).select("email_id", "side", "field", file.alias("file"), "line", "label_seen", shown.alias("shown"))
 
 
 @query("extract_wrapped", with_(FIELDS_SQL, "SELECT email_id, side, field, value FROM fields WHERE k % 4 = 3 AND kind <> 'scanned' AND value IS NOT NULL"))
@@ -245,12 +247,13 @@ def route(spark, sf):
     return r.groupBy(F.col("classification.category").alias("category"), "status", "review_reason", "needs_review").agg(F.count("*").alias("n"))
 
 
-@query("submission", with_(SHIP_SQL, """SELECT email_id, category, status, coalesce(review_reason, 'null') AS review_reason, CAST(planted IS NOT NULL AS VARCHAR) AS has_defect FROM verdict"""))
+@query("submission", with_(SHIP_SQL, """SELECT email_id, category, status, coalesce(review_reason, 'null') AS review_reason, CAST(planted IS NOT NULL AS VARCHAR) AS has_defect,
+ '[' || CASE WHEN status = 'MISMATCH' THEN '"' || planted || '"' ELSE '' END || ']' AS defect_fields FROM verdict"""))
 def submission(spark, sf):
     j = F.to_json(F.struct(*[F.col(c) for c in ("category", "status", "review_reason", "has_defect", "defect_fields")]), {"ignoreNullFields": "false"})
     rows = I.submission(results(spark, sf)).select("email_id", j.alias("j"))
-    got = [F.get_json_object("j", f"$.{c}") for c in ("category", "status", "review_reason", "has_defect")]
-    names = ("category", "status", "review_reason", "has_defect")
+    names = ("category", "status", "review_reason", "has_defect", "defect_fields")
+    got = [F.get_json_object("j", f"$.{c}") for c in names]
     return rows.select("email_id", *[F.coalesce(g, F.lit("null")).alias(n) for g, n in zip(got, names)])
 
 
@@ -337,15 +340,32 @@ def highlights(spark, sf):
 
 @query(
     "highlighted_lines",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS email_id, w.which, CAST(line AS INTEGER) AS line, rtrim(t, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line_text,
+    concat_ws(',', CASE WHEN line = doc_id % 3 + 1 THEN 'shipper:match' END, CASE WHEN w.which = 'bl' AND line = doc_id % 5 + 1 THEN 'consignee:mismatch' END) AS marks
+    FROM l, (SELECT unnest(['si', 'bl']) AS which) w""",
+)
+def highlighted_lines(spark, sf):
+    """Every line of every document, shown on both sides of a record with two verdicts."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    at = lambda n: F.struct((F.col("doc_id") % n + 1).cast("int").alias("line"))
+    nowhere = F.struct(F.lit(-1).alias("line"))
+    seen = F.array(
+        F.struct(F.lit("shipper").alias("field"), F.lit("match").alias("status"), at(3).alias("si"), at(3).alias("bl")),
+        F.struct(F.lit("consignee").alias("field"), F.lit("mismatch").alias("status"), nowhere.alias("si"), at(5).alias("bl")),
+    )
+    r = docs.select(F.col("path").alias("email_id"), F.struct("path").alias("si"), F.struct("path").alias("bl"), seen.alias("comparisons"))
+    return P.highlighted_lines(r, docs.select("path", "text"))
+
+
+@query(
+    "marked_lines",
     with_(COMPARED_SQL, """, marks AS (SELECT email_id, 'si' AS which, si_line AS line, field || ':' || status AS m FROM cmp WHERE si_line >= 1
     UNION ALL SELECT email_id, 'bl', bl_line, field || ':' || status FROM cmp WHERE bl_line >= 1)
-    SELECT email_id, which, CAST(line AS INTEGER) AS line, m AS marks FROM marks"""),
+    SELECT email_id, which, CAST(line AS INTEGER) AS line, m AS mark FROM marks"""),
 )
-def highlighted_lines(spark, sf):
-    ships = K.shipments(spark, sf)
-    docs = K.document_text(ships)
-    r = I.check_messages(K.messages(ships), D.extract_documents(docs))
-    return P.highlighted_lines(r, docs).filter("marks <> ''").select("email_id", "which", "line", "marks")
+def marked_lines(spark, sf):
+    return P.marked_lines(results(spark, sf)).select("email_id", "which", "line", "mark")
 
 
 @query("first_mismatch", with_(COMPARED_SQL, "SELECT email_id, CAST(min(bl_line) AS INTEGER) AS line FROM cmp WHERE status = 'mismatch' GROUP BY email_id"))
@@ -387,15 +407,22 @@ APPLIED = f"""{LOG_SQL}, n AS (SELECT email_id, count(*) AS reviews, max(id) AS
 
 @query(
     "apply_reviews",
-    with_(SHIP_SQL + ",\n" + APPLIED, """, fix AS (SELECT email_id, count(DISTINCT field) AS fixed FROM ok WHERE action = 'correct' GROUP BY 1)
+    with_(SHIP_SQL + ",\n" + APPLIED, f""", last AS (SELECT email_id, field, arg_max(corrected_value, id) AS v FROM ok WHERE action = 'correct' GROUP BY 1, 2),
+    fix AS (SELECT email_id, string_agg(field || '=' || v, ',' ORDER BY field) AS corrected FROM last GROUP BY 1),
+    said AS (SELECT ok.email_id, string_agg(CASE WHEN action = 'confirm' THEN '{V.NOTE_CONFIRMED}'
+      WHEN field <> 'vessel' AND kind IN ('pair', 'silent', 'blank_weight', 'scanned') THEN 'Human reviewer corrected ' || field || ' to ' || corrected_value || '.'
+      ELSE 'Human reviewer supplied ' || field || ': ' || corrected_value || '.' END, ' | ' ORDER BY id) AS told FROM ok JOIN verdict USING (email_id) GROUP BY 1)
     SELECT email_id, CASE WHEN reviews IS NOT NULL THEN 'OK' ELSE status END AS status, CASE WHEN reviews IS NULL THEN review_reason END AS review_reason,
-    planted IS NOT NULL AS has_defect, coalesce(reviews, 0) AS reviews, coalesce(fixed, 0) AS corrected
-    FROM verdict LEFT JOIN n USING (email_id) LEFT JOIN fix USING (email_id)"""),
+    planted IS NOT NULL AS has_defect, coalesce(reviews, 0) AS reviews, coalesce(corrected, '') AS corrected,
+    concat_ws(' | ', nullif({NOTE_SQL}, ''), told) AS notes
+    FROM verdict LEFT JOIN n USING (email_id) LEFT JOIN fix USING (email_id) LEFT JOIN said USING (email_id)"""),
 )
 def apply_reviews(spark, sf):
     done = W.apply_reviews(results(spark, sf), W.valid_reviews(review_events(spark, sf)))
-    marked = F.size(F.filter("comparisons", lambda c: c["reviewed"])) + F.size("human_corrections")
-    return done.select("email_id", "status", "review_reason", "has_defect", "reviews", marked.cast("bigint").alias("corrected"))
+    on_fields = F.transform(F.filter("comparisons", lambda c: c["reviewed"]), lambda c: F.concat_ws("=", c["field"], c["human_correction"]))
+    beside = F.transform(F.map_entries("human_corrections"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    corrected = F.concat_ws(",", F.array_sort(F.concat(on_fields, beside)))
+    return done.select("email_id", "status", "review_reason", "has_defect", "reviews", corrected.alias("corrected"), F.concat_ws(" | ", "notes").alias("notes"))
 
 
 @query(

@@ -11,10 +11,11 @@ from tallyclerk.operators import classify as C
 from tallyclerk.operators import documents as D
 from tallyclerk.operators import evaluate as E
 from tallyclerk.operators import predict as P
+from tallyclerk.operators import reconcile as RC
 from tallyclerk.operators import report as R
 from tallyclerk.operators import reviews as W
 from tallyclerk.plans.registry import query
-from tallyclerk.sources.store import latest
+from tallyclerk.sources.store import current, latest
 
 
 def read(spark, sf, name):
@@ -266,10 +267,11 @@ def explode_response(spark, sf):
     n = F.col("event_id").cast("string")
     reply = F.concat(
         F.lit('{"a'), n, F.lit('": {"category": "SPAM", "confidence": '), (F.round("value", 2) / 40).cast("string"),
-        F.lit('}, "b'), n, F.lit('": {"category": "GENERAL", "confidence": "high"}, "c": {"category": "OTHER"}}'),
+        F.lit('}, "b'), n, F.lit('": {"category": "GENERAL", "confidence": "high"}, "c": {"category": "OTHER"}, "d": {"category": "SPAM"}}'),
     )
-    rows = read(spark, sf, "events").select("event_id", reply.alias("reply"))
-    return P.explode_reply(rows, "reply", "event_id").drop("why")
+    asked = F.array(F.concat(F.lit("a"), n), F.concat(F.lit("b"), n), F.lit("c"))
+    rows = read(spark, sf, "events").select("event_id", reply.alias("reply"), asked.alias("asked"))
+    return P.explode_reply(rows, "reply", "event_id", asked="asked").drop("why")
 
 
 # ---- normalisation over column-rendered values ---------------------------------------
@@ -429,6 +431,47 @@ def upsert_latest(spark, sf):
     return latest(read(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
+@query(
+    "store_replay",
+    "SELECT user_id, arg_max(event_id, (event_id // 50, user_id % 3, event_id)) AS event_id, arg_max(event_type, (event_id // 50, user_id % 3, event_id)) AS event_type FROM events GROUP BY user_id",
+)
+def store_replay(spark, sf):
+    """Events as batches of several writers, some of them written twice, read as a store is."""
+    e = read(spark, sf, "events").select(
+        "user_id", "event_id", "event_type", F.floor(F.col("event_id") / 50).alias("version"),
+        (F.col("user_id") % 3).cast("string").alias("writer"), F.col("event_id").alias("batch"))
+    return current(e.union(e.filter("event_id % 4 = 0")), "user_id")
+
+
+@query(
+    "reconcile_keys",
+    """WITH l AS (SELECT CASE WHEN event_id % 19 <> 0 THEN user_id END AS k, event_type AS v FROM events),
+    a AS (SELECT k, count(*) AS n, min(v) AS v FROM l WHERE k IS NOT NULL GROUP BY k),
+    b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'view' ELSE 'click' END AS v FROM customer)
+    SELECT coalesce(a.k, b.k) AS k, CASE WHEN n > 1 OR a.k IS NULL OR b.k IS NULL THEN 'NEEDS_REVIEW' WHEN a.v = b.v THEN 'OK' ELSE 'MISMATCH' END AS status,
+    CASE WHEN n > 1 THEN 'repeated_key' WHEN a.k IS NULL OR b.k IS NULL THEN 'missing_value' END AS review_reason FROM a FULL JOIN b ON a.k = b.k
+    UNION ALL SELECT k, 'NEEDS_REVIEW', 'null_key' FROM l WHERE k IS NULL""",
+)
+def reconcile_keys(spark, sf):
+    """One side repeats keys and has NULL ones; neither is paired, and neither is lost."""
+    left = read(spark, sf, "events").select(F.when(F.col("event_id") % 19 != 0, F.col("user_id")).alias("k"), F.col("event_type").alias("v"))
+    right = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, "view").otherwise("click").alias("v"))
+    return RC.reconcile(left, right, ["k"], ["v"]).select("k", "status", "review_reason")
+
+
+@query(
+    "batch_prompts",
+    """WITH m AS (SELECT conv_id * 1000 + turn AS id, role, coalesce(text, '') AS text FROM conversations), b AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 15 AS batch FROM m)
+    SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, sha256('ASK' || chr(10) || string_agg('--- id: ' || id || chr(10) || 'FROM: ' || role || chr(10) || 'SUBJECT: ' || chr(10) || 'BODY: '
+      || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 700), chr(10) || chr(10) ORDER BY id)) AS prompt FROM b GROUP BY batch""",
+)
+def batch_prompts(spark, sf):
+    talk_rows = read(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("email_id"), F.col("role").alias("from"), F.lit(None).cast("string").alias("subject"), F.col("text").alias("body"))
+    p = P.batch_prompts(talk_rows, template="ASK\n{emails}", rows_per_bucket=10**9)
+    return p.select("batch", F.size("ids").cast("bigint").alias("n"), F.sha2("prompt", 256).alias("prompt"))
+
+
 @query("latest_runs", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
 def latest_runs(spark, sf):
     return E.newest(read(spark, sf, "events").select("event_id", "event_type"), "event_id", 500)

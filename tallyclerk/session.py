@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -26,13 +24,3 @@ def session(app: str = "tallyclerk", master: str | None = None, **extra: str) ->
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for intermediate tables: the cluster's, or `fallback` where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if fallback is None:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    os.makedirs(fallback, exist_ok=True)
-    return fallback

@@ -27,11 +27,30 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*rows.columns)
 
 
+MARKS = ["version", "writer", "batch"]
+
+
+def current(changes: DataFrame, key: str) -> DataFrame:
+    """The row of each key that the newest batch wrote, without the marks of its partition."""
+    return latest(changes, [key], MARKS).drop(*MARKS)
+
+
 def writer_of(checkpoint: str) -> str:
     """Writer name of a stream: one per checkpoint, so a new checkpoint never replaces old batches."""
     return "s" + hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
 
+def snapshot_sources(messages: DataFrame, attachments: DataFrame, path: str) -> None:
+    """Keep messages and the bytes of their documents, so a record can be checked again."""
+    messages.write.mode("overwrite").parquet(f"{path}/messages")
+    attachments.write.mode("overwrite").parquet(f"{path}/attachments")
+
+
+def stored_sources(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(messages, attachments) of a snapshot, as `plans.inbox.recheck_inbox` takes them."""
+    return spark.read.parquet(f"{path}/messages"), spark.read.parquet(f"{path}/attachments")
+
+
 class ResultStore:
     """Latest-wins table under `path`, one partition per writer and batch.
 
@@ -39,15 +58,13 @@ class ResultStore:
     row of a key is the one of the highest version.
     """
 
-    MARKS = ["version", "writer", "batch"]
-
     def __init__(self, spark: SparkSession, path: str, key: str = "email_id"):
         self.spark, self.path, self.key = spark, path, key
 
     def _version(self, writer: str, batch: int) -> int:
         """The batch's own version if it was written before, else the next one."""
         try:
-            marks = self.changes().select(*self.MARKS)
+            marks = self.changes().select(*MARKS)
         except AnalysisException:  # nothing stored yet
             return 1
         mine = F.when((F.col("writer") == writer) & (F.col("batch") == batch), F.col("version"))
@@ -69,7 +86,7 @@ class ResultStore:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
     def read(self) -> DataFrame:
-        return latest(self.changes(), [self.key], self.MARKS).drop(*self.MARKS)
+        return current(self.changes(), self.key)
 
     def compact(self, path: str) -> ResultStore:
         """Write the latest rows to a new table and return it; the old one stays.
