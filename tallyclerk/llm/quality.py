@@ -6,9 +6,9 @@ a cutoff's false rejections are counted, and the exact (Clopper-Pearson) upper b
 must not exceed `alpha`. Each (stratum, rule) tests its cutoffs from lax to strict and stops at the
 first that fails, which needs no correction along the sequence; across strata and rules the error
 `delta` is divided (Bonferroni). So with probability 1 - delta no certified cutoff rejects more than
-`alpha` of the good documents of its stratum. Among certified cutoffs the laxest is taken that
-rejects nearly as many bad documents as the strictest, so that clean documents stay; a rule that
-rejects no bad ones is not used, and a stratum with too few labels for a certificate gets none.
+`alpha` of the good documents of its stratum. Among certified cutoffs the one is taken that rejects
+the most bad documents, less `COST` for each good one, so that clean documents stay; a rule for which
+that is never positive is not used, and a stratum with too few labels for a certificate gets none.
 
 Features come from one pass over the whole texts in Arrow batches; labels meet features by doc_id,
 and only counts per (stratum, rule, bin) are gathered, at most BINS rows each.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpointed
 
-ALPHA, DELTA, BINS, NEARLY = 0.02, 0.05, 200, 0.98
+ALPHA, DELTA, BINS, COST = 0.02, 0.05, 200, 5
 SYMBOLS, SPACES, UPPER = "#*$%&|<>", " \t\n\x0b\x0c\r", bytes(range(65, 91))
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 COUNTS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_marks".split()
@@ -121,10 +121,9 @@ def certified_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, n_good
         lost, caught = lost + int(good[i]), caught + int(bad[i])
         if lost > alpha * n_good or not certified(lost, n_good, alpha, error):
             break
-        passed.append((float(bins[i]), caught))
-    if not passed or not passed[-1][1]:
-        return None
-    return next(b for b, c in passed if c >= NEARLY * passed[-1][1])
+        passed.append((float(bins[i]), caught - COST * lost))
+    best = max(passed, key=lambda p: p[1], default=(0.0, 0))  # of equal ones the laxest
+    return best[0] if best[1] > 0 else None
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
