@@ -387,3 +387,44 @@ def test_pipeline(spark):
             assert after[name] == {i: before[i] for i, _, _, _, bad in brute.decontaminate(before.items(), bench) if not bad}
     pieces = pipeline.STAGES[-1][1](spark, docs, SF).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
     assert {r.doc_id for r in pieces} == set(after["benchmark decontamination"]) and all(r.n == r["all"] for r in pieces)
+
+
+def odd_documents(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, columns of clashing names."""
+    long = "lorem ipsum dolor " * 20_000
+    rows = [(None, None), (None, "no id here, none at all"), (1, "a b"), (1, "a b"), (1, "another text under one id"), (2, long), (3, ""), (4, long[:150_000]), (5, "�\x00   ok")]
+    full = [(i, t, None if k % 3 else "en", None if k % 2 else "s", None if k % 4 else 7) for k, (i, t) in enumerate(rows)]
+    df = spark.createDataFrame(full, DOCS)
+    return df.withColumns({c: F.lit("clash") for c in CLASHING if c not in df.columns}).repartition(3)
+
+
+@needs_data
+def test_odd_rows(spark):
+    df = odd_documents(spark)
+    n = df.count()
+    bench = spark.createDataFrame([(1, None), (None, "a b"), (2, "lorem ipsum dolor " * 9)], "item_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id bigint, quality int")
+    model = langid.fit_documents(spark.read.parquet(f"{SF}/documents.parquet"))
+    found = decontaminate.decontaminate(df, bench).collect()
+    assert len(found) == n and sum(r.contaminated for r in found) == 4
+    spans = suffix_dedup.dedup(df).collect()
+    assert len(spans) == n and {r.doc_id: r.n_removed for r in spans if r.doc_id == 4} == {4: 150_000}
+    near = simhash.near_duplicates(df).collect()
+    assert len(near) == n and {r.component_id for r in near if r.fp == 0} == {3}
+    assert quality.judge(df, labels).count() == token_counts.count_tokens(df, PIECES).count() == langid.identify(df, model).count() == n
+    pieces = packing.pack(df, BPE).collect()
+    assert sum(r.start == 0 for r in pieces) == n
+    for op in (decontaminate.decontaminate(df.limit(0), bench), suffix_dedup.dedup(df.limit(0)), token_counts.count_tokens(df.limit(0), PIECES), langid.identify(df.limit(0), model)):
+        assert op.count() == 0
+
+
+@needs_data
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline as pipeline
+
+    for docs in (odd_documents(spark), odd_documents(spark).limit(0)):
+        docs = docs.union(docs.limit(0))
+        for _, stage in pipeline.STAGES[:-1]:
+            docs = common.checkpointed(stage(spark, docs, SF).withColumn("extra", F.lit(1)))
+            assert docs.columns == [*pipeline.COLUMNS, "extra"]
+        pipeline.STAGES[-1][1](spark, docs, SF).collect()
