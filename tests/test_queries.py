@@ -3,20 +3,21 @@
 import os
 
 import pytest
+from compare import compare, connect
 
 import __spark_entry__ as entry
-from compare import compare, connect
+from tallyclerk.plans import queries_check, queries_text, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-QUICK = "canon_text ascii_fold text_quality rules_as_table cache_lookup batch_pack lenient_json explode_response norm_weight facets review_log upsert_latest classify_rules extract_fields inbox_verdicts final_score".split()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, name):
-    problem, _, _ = compare(spark, connect(SF), name, entry.queries()[name], entry.oracle_sql().get(name), SF)
+    problem, _, _ = compare(spark, connect(SF), name, registry.QUERIES[name], registry.ORACLES.get(name), SF)
     assert problem is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry.queries())
