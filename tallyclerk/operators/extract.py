@@ -8,6 +8,8 @@ Nothing is exploded or shuffled, so a scan of any size extracts in its own tasks
 
 from __future__ import annotations
 
+import bisect
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -65,24 +67,32 @@ def _sql(value) -> str:
     return str(value)
 
 
-def _sql_map(table: dict) -> Column:
-    """A constant table as one expression, which costs one call instead of one per cell."""
-    return F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")")
+def _constant(value, ddl: str) -> Column:
+    """A constant table of any size as one string that is parsed once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
 
 
 def _without_total(label: str) -> str:
     return re.sub(r"^TOTAL\s+", "", label)
 
 
-def label_tails(label: str, labels: dict[str, list[str]]) -> list[str]:
-    """What longer known labels have after `label` and a blank.
+def label_tails(labels: dict[str, list[str]]) -> dict[str, list[str]]:
+    """By label, what longer known labels have after it and a blank.
 
     'Notify' followed by 'Party/Intermediate Consignee' is a label, not a company: a
     captured text that begins one of these tails, or extends one, is a label fragment.
     """
-    known = {x.upper() for xs in labels.values() for x in xs}
-    stem = label.upper() + " "
-    return sorted(k[len(stem):] for k in known if k.startswith(stem))
+    spelled = {x for xs in labels.values() for x in xs}
+    known = sorted({x.upper() for x in spelled})
+    tails = {}
+    for label in spelled:
+        stem = label.upper() + " "
+        at, found = bisect.bisect_left(known, stem), []
+        while at < len(known) and known[at].startswith(stem):
+            found.append(known[at][len(stem):])
+            at += 1
+        tails[label] = found or [NO_TAIL]
+    return tails
 
 
 def is_label_fragment(captured: Column, tails: Column) -> Column:
@@ -97,20 +107,22 @@ def _label_lookup(labels: dict[str, list[str]]) -> tuple[str, Column]:
     pattern and then only against the labels its stem leaves possible.
     """
     stripped = {_without_total(x.upper()) for xs in labels.values() for x in xs}
-    stems: list[str] = []
+    by_stem: dict[str, list[dict]] = {}
+
+    def stem_of(text):
+        return next((text[:n] for n in range(1, len(text) + 1) if text[:n] in by_stem), None)
+
     for text in sorted(stripped, key=lambda x: (len(x), x)):
-        if not any(text.startswith(stem) for stem in stems):
-            stems.append(text)
-    by_stem: dict[str, list[dict]] = {stem: [] for stem in stems}
+        if stem_of(text) is None:
+            by_stem[text] = []
+    stems, tails = list(by_stem), label_tails(labels)
     for f, field in enumerate(V.FIELDS):
         for l, label in enumerate(labels[field]):
-            stem = next(s for s in stems if _without_total(label.upper()).startswith(s))
-            by_stem[stem].append(
-                {"f": f, "l": l, "label": label, "upper": label.upper(), "tails": label_tails(label, labels) or [NO_TAIL]}
-            )
+            entry = {"f": f, "l": l, "label": label, "upper": label.upper(), "tails": tails[label]}
+            by_stem[stem_of(_without_total(label.upper()))].append(entry)
     # One TOTAL may stand before a label, and a label may begin with another.
     pattern = rf"(?i)^{S}*(?:TOTAL{S}+){{0,2}}(" + "|".join(_literal(s) for s in stems) + ")"
-    return pattern, _sql_map(by_stem)
+    return pattern, _constant(by_stem, "map<string,array<struct<f:int,l:int,label:string,upper:string,tails:array<string>>>>")
 
 
 def computed_once(c: Column) -> Column:
@@ -167,7 +179,7 @@ def _codes(folded: Column, labels: dict[str, list[str]]) -> Column:
     for f, field in enumerate(V.FIELDS):
         for l, label in enumerate(labels[field]):
             ranks.setdefault(label.upper(), []).append((f << _LABEL_BITS) + l)
-    rank = _sql_map(ranks).cast("map<string,array<bigint>>")
+    rank = _constant(ranks, "map<string,array<bigint>>")
     # Each step binds what the next one uses more than once: a lambda's variables are
     # values, while an expression repeated in it would be evaluated again.
     hits = F.array_compact(
@@ -211,9 +223,8 @@ def _leaders(raw: Column, folded: Column, codes: Column, labels: dict[str, list[
     head, space = _head_pattern(labels), F.lit(V.ASCII_SPACE)
     field_shift = _LINE_BITS + _FORM_BITS + _LABEL_BITS
     names = F.expr(_sql(list(V.FIELDS)))
-    spelled = F.expr(_sql([labels[f] for f in V.FIELDS]))
-    longer = {x: label_tails(x, labels) or [NO_TAIL] for xs in labels.values() for x in xs}
-    tails = _sql_map(longer)
+    spelled = _constant([labels[f] for f in V.FIELDS], "array<array<string>>")
+    tails = _constant(label_tails(labels), "map<string,array<string>>")
 
     # Outside a lambda: an expression referenced inside one could be inlined into it and
     # be evaluated once per element.
@@ -466,8 +477,11 @@ def extract_fields(
 def _ordered_by_length(labels: dict[str, list[str]]) -> bool:
     """Whether, of two labels one of which begins with the other, the longer comes first."""
     for xs in labels.values():
-        for i, a in enumerate(xs):
-            for b in xs[i + 1 :]:
-                if _without_total(b.upper()).startswith(_without_total(a.upper())) and len(_without_total(b)) > len(_without_total(a)):
-                    return False
+        first: dict[str, int] = {}
+        for i, x in enumerate(xs):
+            first.setdefault(_without_total(x.upper()), i)
+        for i, x in enumerate(xs):
+            text = _without_total(x.upper())
+            if any(first.get(text[:n], i) < i for n in range(1, len(text))):
+                return False
     return True

@@ -14,6 +14,7 @@ from tallyclerk.operators import predict as P
 from tallyclerk.operators import reconcile as RC
 from tallyclerk.operators import report as R
 from tallyclerk.operators import reviews as W
+from tallyclerk.operators.extract import extract_fields
 from tallyclerk.plans.registry import query
 from tallyclerk.sources.store import current, latest
 
@@ -431,6 +432,24 @@ def upsert_latest(spark, sf):
     return latest(read(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
 
+@query(
+    "learned_extract",
+    """WITH e AS (SELECT event_id, 'Tag ' || lpad(CAST(event_id AS VARCHAR), 7, '0') AS label FROM events)
+    SELECT event_id, 'shipper' AS field, CASE WHEN event_id % 2 = 0 OR event_id % 10 = 5 THEN 'ACME ' || event_id END AS value, CASE WHEN event_id % 2 = 0 OR event_id % 10 = 5 THEN label ELSE '' END AS label_seen FROM e
+    UNION ALL SELECT event_id, 'consignee', CASE WHEN event_id % 2 = 1 OR event_id % 10 = 0 THEN 'ACME ' || event_id END, CASE WHEN event_id % 2 = 1 OR event_id % 10 = 0 THEN label ELSE '' END FROM e""",
+)
+def learned_extract(spark, sf):
+    """A label learned from every event, each tenth for two fields, and a document that uses it."""
+    e = read(spark, sf, "events").select("event_id", F.concat(F.lit("Tag "), F.lpad(F.col("event_id").cast("string"), 7, "0")).alias("label_seen"))
+    n = F.col("event_id")
+    fields = F.array_compact(F.array(
+        F.when((n % 2 == 0) | (n % 10 == 5), F.lit("shipper")), F.when((n % 2 == 1) | (n % 10 == 0), F.lit("consignee"))))
+    labels = D.learned_labels(e.select(F.explode(fields).alias("field"), "label_seen"))
+    docs = e.select("event_id", F.concat(F.lit("BILL OF LADING\n"), "label_seen", F.lit(": Acme "), n.cast("string")).alias("text"))
+    rows = extract_fields(docs, labels=labels).select("event_id", F.explode(F.slice("fields", 1, 2)).alias("f"))
+    return rows.select("event_id", "f.field", "f.value", "f.label_seen")
+
+
 @query(
     "store_replay",
     "SELECT user_id, arg_max(event_id, (event_id // 50, user_id % 3, event_id)) AS event_id, arg_max(event_type, (event_id // 50, user_id % 3, event_id)) AS event_type FROM events GROUP BY user_id",
