@@ -180,7 +180,8 @@ def said(text: Column, model: Model, documents: DataFrame) -> Column:
         for texts in batches:
             yield pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
-    return F.pandas_udf(run, "struct<lang_pred:string,score:double>")(text)
+    # Not pushed into filters of the caller, where it would run a second time.
+    return F.pandas_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()(text)
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

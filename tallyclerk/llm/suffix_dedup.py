@@ -380,7 +380,8 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = documents.select(*others, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias(own))
     spans = _removed(keyed, own, length).select(F.col("doc").alias(own), F.col("begins").alias(f"{own}begins"), F.col("ends").alias(f"{own}ends"))
     joined = keyed.join(spans, own, "left")
-    cut = F.pandas_udf(_cut, "struct<kept:binary,kept_text:string,n_removed:bigint,n_spans:bigint>")
+    # Not pushed into filters of the caller, where it would run a second time.
+    cut = F.pandas_udf(_cut, "struct<kept:binary,kept_text:string,n_removed:bigint,n_spans:bigint>").asNondeterministic()
     done = joined.select(*others, cut(F.col("text").cast("binary"), f"{own}begins", f"{own}ends").alias(f"{own}cut"))
     added = {"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")}
     return done.select(*others, *(added.get(c, F.col(f"{own}cut.{c}")).alias(c) for c in ADDED))
