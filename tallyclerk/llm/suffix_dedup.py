@@ -13,6 +13,9 @@ suffixes are first dealt out by content:
    stretch. Neighbours with `length` common bytes are one string; all but its first place are
    removed. Shards of more than `SHARD` bytes are cut into several, in order of doc_id, and merged
    by binary search: a string found in an earlier shard's array is removed.
+4. An anchor with more than `HOT` bytes of stretches, such as a phrase in very many different
+   surroundings, gets no shard. Its stretches are spread again and dealt out window by window, by
+   the digest of each, so it takes many tasks and none holds more than `HOT` bytes of one anchor.
 
 Both shuffles by hash carry each key only once per Arrow batch: an anchor or stretch that repeats
 within a batch is settled there, so a passage in a third of all documents sends a row per
@@ -26,6 +29,7 @@ gives an empty result. Columns other than doc_id and text are carried along, not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,6 +42,8 @@ LENGTH, GRAM = 100, 24  # the hash below takes three words of 8 bytes
 ADDED = "kept kept_text n_bytes n_removed n_spans".split()
 #: Bytes of stretches in one suffix array.
 SHARD = 1 << 20
+#: Bytes of stretches of one anchor up to which they are settled together in one task.
+HOT = 4 << 20
 _CHUNK = (1 << 20) - 256
 _LOW = np.uint64((1 << 20) - 1)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -241,12 +247,59 @@ def shard_spans(texts: list[bytes], doc: np.ndarray, start: np.ndarray, count: n
         at = to
 
 
+def _stretch_bytes(rows: pa.Table) -> int:
+    return pc.sum(pc.binary_length(rows["stretch"])).as_py() or 0
+
+
+class KeyParts:
+    """Rows that come sorted by key, cut into (rows, hot): whole keys of up to `most` bytes of
+    stretches, and parts of keys that have more. Which are hot depends on no batch bounds."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.held, self.size, self.key, self.hot = most, [], 0, None, False
+
+    def __call__(self, batch: pa.RecordBatch | None) -> Iterator[tuple[pa.Table, bool]]:
+        """What a batch completes; None ends the input."""
+        if batch is None:
+            yield from self._end()
+            return
+        rows = pa.Table.from_batches([batch.filter(pc.is_valid(batch.column(1)))])
+        if not rows.num_rows:
+            return
+        key = rows["key"].to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        sizes = np.add.reduceat(pc.binary_length(rows["stretch"]).to_numpy().astype(np.int64), bounds[:-1]).tolist()
+        if len(bounds) == 2 or max(sizes[1:-1], default=0) > self.most:
+            cuts = list(zip(bounds[:-1], bounds[1:], sizes, strict=True))
+        else:  # nothing between the first key and the last one is hot
+            cuts = [(0, bounds[1], sizes[0]), *([(bounds[1], bounds[-2], None)] if bounds[1] < bounds[-2] else []), (bounds[-2], len(key), sizes[-1])]
+        for at, to, size in cuts:
+            if self.key is None or key[at] != self.key:
+                yield from self._end()
+            part = rows.slice(at, to - at)
+            if size is None:
+                yield part, False
+                continue
+            self.key, self.size = key[at], self.size + size
+            self.held.append(part)
+            self.hot = self.hot or self.size > self.most
+            if self.hot:
+                yield from ((p, True) for p in self.held)
+                self.held = []
+
+    def _end(self) -> Iterator[tuple[pa.Table, bool]]:
+        if self.held:
+            yield pa.concat_tables(self.held), False
+        self.held, self.size, self.key, self.hot = [], 0, None, False
+
+
 def _removed(keyed: DataFrame, key: str, length: int) -> DataFrame:
     """(doc, begins, ends): bytes to remove of each document of `keyed`, whose key column is not null.
 
     The documents are dealt by key here with all their columns, just as the caller does to cut
     them, so Spark shuffles the texts once for both.
     """
+    hot_bytes = HOT
     texts = keyed.select(F.col(key).alias("doc"), F.col("text").cast("binary").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,35 +366,48 @@ def _removed(keyed: DataFrame, key: str, length: int) -> DataFrame:
         def out(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, begin, end)], ["doc", "begin", "end"])
 
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table["key"].to_numpy()
-            cut = len(key) if last else int(np.searchsorted(key, key[-1], "left"))  # a key may go on in the next batch
-            ready = table.slice(0, cut)
-            held = table.slice(cut).to_batches() if cut < len(key) else []
-            size = sum(b.nbytes for b in held)
-            if cut:
+        def solved(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            if tables:
+                ready = pa.concat_tables(tables).combine_chunks()
                 yield from (out(*s) for s in shard_spans(
                     ready["stretch"].to_pylist(), *(ready[c].to_numpy() for c in ("doc", "start", "count", "key")), length))
 
+        parts = KeyParts(hot_bytes)
+        held: list[pa.Table] = []
+        size = 0
         for batch in batches:
             bare = batch.filter(pc.is_null(batch.column(1)))
             if bare.num_rows:
                 yield out(*(bare.column(i).to_numpy() for i in (2, 3, 4)))
-            full = batch.filter(pc.is_valid(batch.column(1)))
-            if full.num_rows:
-                held.append(full)
-                size += full.nbytes
-            if size > 2 * SHARD:
-                yield from flush(False)
-        if held:
-            yield from flush(True)
-
+            # Whole keys only come from here on; several small ones make a shard.
+            for rows, is_hot in parts(batch):
+                if not is_hot:
+                    held.append(rows)
+                    size += _stretch_bytes(rows)
+                if size > 2 * SHARD:
+                    yield from solved(held)
+                    held, size = [], 0
+        for rows, is_hot in parts(None):
+            if not is_hot:
+                held.append(rows)
+        yield from solved(held)
+
+    def of_hot_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = KeyParts(hot_bytes)
+        for batch in chain(batches, [None]):
+            for rows, is_hot in parts(batch):
+                if is_hot:
+                    yield from rows.select(["stretch", "doc", "start", "count"]).to_batches()
+
+    # Both read the same shuffle; the second only passes on what the first leaves out.
     spans = dealt.mapInArrow(settle, "doc bigint, begin bigint, end bigint")
+    hot = dealt.mapInArrow(of_hot_keys, "stretch binary, doc bigint, start bigint, count bigint").repartition("doc", "start")
+    window = lambda i: F.struct(
+        (F.col("start") + i).alias("at"), F.substring(F.unhex(F.sha2(F.substring("stretch", i.cast("int") + 1, length), 256)), 1, 16).alias("digest"))
+    windows = hot.select("doc", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1), window)).alias("w")).select("doc", "w.at", "w.digest")
+    # Equal places, of repeated rows, have one rank.
+    later = windows.withColumn("n", F.rank().over(Window.partitionBy("digest").orderBy("doc", "at"))).filter("n > 1")
+    spans = spans.unionByName(later.select("doc", F.col("at").alias("begin"), (F.col("at") + length).alias("end")))
     merged = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s"))
     return merged.select("doc", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
 

@@ -7,6 +7,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import compare, connect
 from pyspark.sql import functions as F
@@ -224,6 +225,31 @@ def test_suffix_dedup(spark, docs, limit, monkeypatch):
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch):
+    """A phrase in many surroundings: equal results, with no more than HOT bytes of it in a task."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3000)
+    rng, seen = random.Random(5), []
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    phrase = min((word(24) for _ in range(4000)), key=lambda p: suffix_dedup.anchors(p.encode(), 24)[3][0])
+    around = [word(90) + phrase + word(90) for _ in range(40)]
+    rows = [(i, word(50) + around[i % 40] + word(60)) for i in range(60)]
+
+    class Watched(suffix_dedup.KeyParts):
+        def __call__(self, batch):
+            for rows, hot in super().__call__(batch):
+                seen.append((suffix_dedup._stretch_bytes(rows), hot))
+                yield rows, hot
+
+    parts, keys = Watched(3000), pa.array([1] * 10 + [2] * 40 + [3] * 5)
+    table = pa.table({"key": keys, "stretch": pa.array([b"x" * 200] * 55)})
+    got = [x for b in [*table.to_batches(max_chunksize=7), None] for x in parts(b)]
+    assert {k for t, hot in got if hot for k in t["key"].to_pylist()} == {2} and sum(t.num_rows for t, _ in got) == 55 and max(s for s, _ in seen) <= 3000
+    df = spark.createDataFrame([*rows, rows[50]], "doc_id bigint, text string").repartition(12)
+    out = suffix_dedup.dedup(df).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)").collect()
+    want = brute.suffix_dedup(rows, 100)
+    assert len(out) == 61 and all(tuple(r)[1:5] == want[r.doc_id] for r in out) and sum(r.n_removed > 0 for r in out) == 21
+
+
 def test_null_doc_id_comes_first(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(120)) + "".join(str(i) for i in range(50))
     out = suffix_dedup.dedup(spark.createDataFrame([(5, text), (None, text)], "doc_id bigint, text string")).collect()
