@@ -6,7 +6,7 @@ return the columns of `documents`, with text and n_chars as the stage left them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyclerk.llm import decontaminate, langid, packing, queries, simhash, suffix_dedup
@@ -18,8 +18,12 @@ LEAST_SCORE = 0.35
 _NO_ID = -(1 << 63)
 
 
-def _id(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)))
+#: What makes rows one document: the doc_id, which may be null, and the hash of the text.
+_KEY = ["_id", "_text"]
+
+
+def _keyed(rows: DataFrame, text_key: Column) -> DataFrame:
+    return rows.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)), "_text": text_key})
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +33,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; repeated rows once."""
-    found = simhash.near_duplicates(docs)
-    first = _id(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))).select("_id").distinct()
-    return _id(docs.select(*COLUMNS)).join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*COLUMNS)
+    """Of each group of near-duplicates the document with the smallest doc_id, one without doc_id
+    only if there is no other; rows equal in doc_id and text once."""
+    found = simhash.components(docs)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("d")).select("d.doc_id", "d.text_key")
+    first = _keyed(first, F.col("text_key")).select(*_KEY)
+    return _keyed(docs.select(*COLUMNS), F.xxhash64("text")).join(first, _KEY, "left_semi").dropDuplicates(_KEY).select(*COLUMNS)
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +51,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = _id(judged.filter("contaminated")).select("_id").distinct()
-    return _id(docs.select(*COLUMNS)).join(bad, "_id", "left_anti").select(*COLUMNS)
+    judged = decontaminate.judged(docs, table(spark, sf_dir, "benchmark"))
+    bad = _keyed(judged.filter("contaminated"), F.col("text_key")).select(*_KEY).distinct()
+    return _keyed(docs.select(*COLUMNS), F.xxhash64("text")).join(bad, _KEY, "left_anti").select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,7 +98,12 @@ def contaminated_windows(documents: DataFrame, items: DataFrame, window: int = W
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """`documents` (doc_id, text) with words, hit words, items that occur, and the verdict.
+    """`judged` without the hash of the text."""
+    return judged(documents, items, window, share).drop("text_key")
+
+
+def judged(documents: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """`documents` (doc_id, text) with text_key (a hash of the text), words, hit words, items that occur, and the verdict.
 
     Contaminated: some word is hit, and share * hit words >= words.
     """
@@ -106,7 +111,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW,
     found, windows = contaminated_windows(documents, items, window)
     if found is None:
         return counted.select(
-            "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
+            "doc_id", "text_key", "n_words", F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"), F.lit(False).alias("contaminated"))
     found = checkpointed(found.distinct())
     place = ["doc_id", "text_key"]
     # Union of the windows by a sweep: what each adds beyond the furthest end before it.
@@ -122,6 +127,6 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = WINDOW,
         hit["doc_id"].alias("d"), hit["text_key"].alias("t"), "n_hit", "item_ids")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return counted.join(both, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")), "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        "doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
         ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )

@@ -55,15 +55,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """(doc_id, fp, text_key): the fingerprint as a signed 64-bit number, and a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t or b"", shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_key"])
 
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, fp bigint")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
+    return texts.mapInArrow(run, "doc_id bigint, fp bigint, text_key bigint")
 
 
 class BKTree:
@@ -160,9 +160,15 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id among all documents that links reach."""
+    return components(documents, radius, shingle).select("doc_id", "fp", "component_id")
+
+
+def components(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_key, fp, component_id, root: root is one fingerprint of each group, so unlike
+    component_id it tells groups apart whose documents share a doc_id or have none."""
     fps = checkpointed(fingerprints(documents, shingle))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = linked_groups(fingerprint_links(nodes.select("fp"), radius))
     placed = nodes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select("doc_id", "text_key", "fp", "component_id", "root")

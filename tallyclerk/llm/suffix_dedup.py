@@ -1,6 +1,7 @@
 """Suffix-array dedup: every byte in a string of `length` bytes that also starts earlier is removed.
 
-Earlier means in a document with a smaller doc_id, or before in the same one. A suffix array of a
+Earlier means in a document with a smaller doc_id, or before in the same one. Different texts
+under one doc_id are documents of their own, in the order of their hashes. A suffix array of a
 whole corpus, or the merging of every shard with every other, grows faster than the input, so the
 suffixes are first dealt out by content:
 
@@ -22,7 +23,7 @@ within a batch is settled there, so a passage in a third of all documents sends
 batch, not per document. Spans come back per document and are cut from its text.
 
 Odd input: null text is empty; texts under `length` bytes are left alone; repeated rows with one
-doc_id are one document and get its result; a null doc_id comes before all others; an empty table
+doc_id and text are one document and get its result; those with a null doc_id come before all others; an empty table
 gives an empty result. Columns other than doc_id and text are carried along, not looked at.
 """
 
@@ -38,8 +39,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, checkpointed
+
 LENGTH, GRAM = 100, 24  # the hash below takes three words of 8 bytes
 ADDED = "kept kept_text n_bytes n_removed n_spans".split()
+#: Doc_ids with several texts that are broadcast; more meet in a shuffle.
+BROADCAST_ROWS = 100_000
 #: Bytes of stretches in one suffix array.
 SHARD = 1 << 20
 #: Bytes of stretches of one anchor up to which they are settled together in one task.
@@ -293,43 +298,45 @@ class KeyParts:
         self.held, self.size, self.key, self.hot = [], 0, None, False
 
 
-def _removed(keyed: DataFrame, key: str, length: int) -> DataFrame:
-    """(doc, begins, ends): bytes to remove of each document of `keyed`, whose key column is not null.
+def _removed(keyed: DataFrame, key: str, twin: str, length: int) -> DataFrame:
+    """(doc, twin, begins, ends): bytes to remove of each document of `keyed`, whose key columns are not null.
 
     The documents are dealt by key here with all their columns, just as the caller does to cut
     them, so Spark shuffles the texts once for both.
     """
     hot_bytes = HOT
-    texts = keyed.select(F.col(key).alias("doc"), F.col("text").cast("binary").alias("text"))
+    texts = keyed.select(F.col(key).alias("doc"), F.col(twin).alias("twin"), F.col("text").cast("binary").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A row per anchor; one of each hash in the batch asks whether others have it too.
         for batch in batches:
-            docs, places, hashes = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            docs, twins, places, hashes = [], [], [], []
+            for doc, other, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 place, _, _, h = anchors(text or b"", length)
                 docs.append(np.full(len(place), doc, np.int64))
+                twins.append(np.full(len(place), other, np.int64))
                 places.append(place)
                 hashes.append(h)
-            doc, place, h = (np.concatenate([*x, np.zeros(0, k)]).astype(k) for x, k in ((docs, np.int64), (places, np.int64), (hashes, np.uint64)))
+            doc, other, place, h = (np.concatenate([*x, np.zeros(0, k)]).astype(k) for x, k in ((docs, np.int64), (twins, np.int64), (places, np.int64), (hashes, np.uint64)))
             _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             known = n[back] > 1
             asks = np.zeros(len(h), bool)
             asks[first] = True
-            key = np.where(asks, h, (h ^ (place.astype(np.uint64) * _A)) + doc.astype(np.uint64) * _B).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(asks), pa.array(known)], ["key", "doc", "place", "asks", "known"])
+            key = np.where(asks, h, (h ^ (place.astype(np.uint64) * _A)) + doc.astype(np.uint64) * _B + other.astype(np.uint64) * _C).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(other), pa.array(place.astype(np.int32)), pa.array(asks), pa.array(known)], ["key", "doc", "twin", "place", "asks", "known"])
 
-    asked = texts.mapInArrow(find, "key bigint, doc bigint, place int, asks boolean, known boolean")
+    asked = texts.mapInArrow(find, "key bigint, doc bigint, twin bigint, place int, asks boolean, known boolean")
     others = F.count("*").over(Window.partitionBy("key", "asks"))
     repeated = asked.withColumn("n", others).filter((F.col("asks") & (F.col("n") > 1)) | F.col("known"))
-    wanted = repeated.groupBy("doc").agg(F.collect_list("place").alias("places")).select(F.col("doc").alias(f"{key}doc"), F.col("places").alias(f"{key}places"))
+    wanted = repeated.groupBy("doc", "twin").agg(F.collect_list("place").alias("places")).select(*(F.col(c).alias(f"{key}its_{c}") for c in ("doc", "twin", "places")))
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple, int] = {}
             rows: list[list] = []
             gone: list[tuple] = []
-            joined = sorted(zip(batch.column(0).to_pylist(), range(batch.num_rows), batch.column(1), batch.column(2), strict=True), key=lambda r: r[:2])
+            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            joined = sorted(zip(ids, range(batch.num_rows), batch.column(2), batch.column(3), strict=True), key=lambda r: r[:2])
             for doc, _, text, places in joined:
                 text = text.as_py() or b""
                 place, first, count, h = anchors(text, length)
@@ -351,26 +358,30 @@ def _removed(keyed: DataFrame, key: str, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key), pa.array([r[1] for r in rows] + [None] * len(gone), pa.binary()),
-                    pa.array([r[2] for r in rows] + [g[0] for g in gone], pa.int64()), pa.array([r[3] for r in rows] + [g[1] for g in gone], pa.int64()),
+                    *(pa.array([r[2][i] for r in rows] + [g[0][i] for g in gone], pa.int64()) for i in range(2)), pa.array([r[3] for r in rows] + [g[1] for g in gone], pa.int64()),
                     pa.array([r[4] for r in rows] + [g[2] for g in gone], pa.int64()),
                 ],
-                ["key", "stretch", "doc", "start", "count"],
+                ["key", "stretch", "doc", "twin", "start", "count"],
             )
 
-    with_places = keyed.join(wanted, F.col(key) == F.col(f"{key}doc"))
-    rest = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keyed.columns) if c not in (key, "text")]
-    stretches = with_places.select(F.col(key).alias("doc"), F.col("text").cast("binary").alias("text"), F.col(f"{key}places").alias("places"), *rest).mapInArrow(stretch, "key bigint, stretch binary, doc bigint, start bigint, count bigint")
-    dealt = stretches.repartition("key").sortWithinPartitions("key", "doc", "start")
+    with_places = keyed.join(wanted, (F.col(key) == F.col(f"{key}its_doc")) & (F.col(twin) == F.col(f"{key}its_twin")))
+    rest = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keyed.columns) if c not in (key, twin, "text")]
+    stretches = with_places.select(F.col(key).alias("doc"), F.col(twin).alias("twin"), F.col("text").cast("binary").alias("text"), F.col(f"{key}its_places").alias("places"), *rest).mapInArrow(stretch, "key bigint, stretch binary, doc bigint, twin bigint, start bigint, count bigint")
+    dealt = stretches.repartition("key").sortWithinPartitions("key", "doc", "twin", "start")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, begin, end)], ["doc", "begin", "end"])
+        def out(doc: np.ndarray, other: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, other, begin, end)], ["doc", "twin", "begin", "end"])
 
         def solved(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
             if tables:
                 ready = pa.concat_tables(tables).combine_chunks()
-                yield from (out(*s) for s in shard_spans(
-                    ready["stretch"].to_pylist(), *(ready[c].to_numpy() for c in ("doc", "start", "count", "key")), length))
+                number, other = ready["doc"].to_numpy(), ready["twin"].to_numpy()
+                if twins := other.any():  # (doc, twin) in order, as numbers
+                    ids, number = np.unique(np.stack([number, other]), axis=1, return_inverse=True)
+                for n, begin, end in shard_spans(
+                        ready["stretch"].to_pylist(), np.asarray(number).reshape(-1), *(ready[c].to_numpy() for c in ("start", "count", "key")), length):
+                    yield out(*(ids[:, n] if twins else (n, np.zeros(len(n)))), begin, end)
 
         parts = KeyParts(hot_bytes)
         held: list[pa.Table] = []
@@ -378,7 +389,7 @@ def _removed(keyed: DataFrame, key: str, length: int) -> DataFrame:
         for batch in batches:
             bare = batch.filter(pc.is_null(batch.column(1)))
             if bare.num_rows:
-                yield out(*(bare.column(i).to_numpy() for i in (2, 3, 4)))
+                yield out(*(bare.column(i).to_numpy() for i in (2, 3, 4, 5)))
             # Whole keys only come from here on; several small ones make a shard.
             for rows, is_hot in parts(batch):
                 if not is_hot:
@@ -397,19 +408,19 @@ def _removed(keyed: DataFrame, key: str, length: int) -> DataFrame:
         for batch in chain(batches, [None]):
             for rows, is_hot in parts(batch):
                 if is_hot:
-                    yield from rows.select(["stretch", "doc", "start", "count"]).to_batches()
+                    yield from rows.select(["stretch", "doc", "twin", "start", "count"]).to_batches()
 
     # Both read the same shuffle; the second only passes on what the first leaves out.
-    spans = dealt.mapInArrow(settle, "doc bigint, begin bigint, end bigint")
-    hot = dealt.mapInArrow(of_hot_keys, "stretch binary, doc bigint, start bigint, count bigint").repartition("doc", "start")
+    spans = dealt.mapInArrow(settle, "doc bigint, twin bigint, begin bigint, end bigint")
+    hot = dealt.mapInArrow(of_hot_keys, "stretch binary, doc bigint, twin bigint, start bigint, count bigint").repartition("doc", "twin", "start")
     window = lambda i: F.struct(
         (F.col("start") + i).alias("at"), F.substring(F.unhex(F.sha2(F.substring("stretch", i.cast("int") + 1, length), 256)), 1, 16).alias("digest"))
-    windows = hot.select("doc", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1), window)).alias("w")).select("doc", "w.at", "w.digest")
+    windows = hot.select("doc", "twin", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1), window)).alias("w")).select("doc", "twin", "w.at", "w.digest")
     # Equal places, of repeated rows, have one rank.
-    later = windows.withColumn("n", F.rank().over(Window.partitionBy("digest").orderBy("doc", "at"))).filter("n > 1")
-    spans = spans.unionByName(later.select("doc", F.col("at").alias("begin"), (F.col("at") + length).alias("end")))
-    merged = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s"))
-    return merged.select("doc", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
+    later = windows.withColumn("n", F.rank().over(Window.partitionBy("digest").orderBy("doc", "twin", "at"))).filter("n > 1")
+    spans = spans.unionByName(later.select("doc", "twin", F.col("at").alias("begin"), (F.col("at") + length).alias("end")))
+    merged = spans.groupBy("doc", "twin").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("s"))
+    return merged.select("doc", "twin", F.col("s.begin").alias("begins"), F.col("s.end").alias("ends"))
 
 
 def _cut(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
@@ -443,9 +454,18 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     others = [F.col(f"`{c}`") for c in documents.columns if c not in ADDED]
     own = "_sa" + "_" * max(map(len, documents.columns))  # longer than any name that is there
+    twin, text_key = f"{own}twin", F.xxhash64("text")
+    # The second part of a document's key is 0 unless its doc_id does not say which text it is.
+    said = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias(own), text_key.alias("h"))
+    shared = checkpointed(said.groupBy(own).agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select(own, F.lit(True).alias(f"{own}shared")))
     keyed = documents.select(*others, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias(own))
-    spans = _removed(keyed, own, length).select(F.col("doc").alias(own), F.col("begins").alias(f"{own}begins"), F.col("ends").alias(f"{own}ends"))
-    joined = keyed.join(spans, own, "left")
+    other = F.when(F.col("doc_id").isNull(), text_key)
+    if not shared.isEmpty():
+        keyed = keyed.join(broadcast_if_small(shared, BROADCAST_ROWS), own, "left")
+        other = other.when(F.col(f"{own}shared"), text_key)
+    keyed = keyed.select(*others, own, other.otherwise(F.lit(0).cast("bigint")).alias(twin))
+    spans = _removed(keyed, own, twin, length).select(F.col("doc").alias(own), F.col("twin").alias(twin), F.col("begins").alias(f"{own}begins"), F.col("ends").alias(f"{own}ends"))
+    joined = keyed.join(spans, [own, twin], "left")
     # Not pushed into filters of the caller, where it would run a second time.
     cut = F.pandas_udf(_cut, "struct<kept:binary,kept_text:string,n_removed:bigint,n_spans:bigint>").asNondeterministic()
     done = joined.select(*others, cut(F.col("text").cast("binary"), f"{own}begins", f"{own}ends").alias(f"{own}cut"))

@@ -444,6 +444,28 @@ def test_odd_rows(spark):
         assert op.count() == 0
 
 
+@needs_data
+def test_stages_keep_what_nothing_links(spark):
+    """Texts without doc_id, or under one doc_id, are documents of their own in every stage."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    a, b, c, d = (words(60) for _ in range(4))
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r.text or "").split()) > 13)
+    rows = [(None, a), (None, a), (None, b), (1, c), (1, d), (1, d), (2, c)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS).repartition(3)
+    stages = dict(pipeline.STAGES)
+    kept = lambda name, docs: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, SF).collect()), key=str)
+    assert kept("SimHash near-dedup", df) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
+    bad = spark.createDataFrame([(i, item, "en", "s", len(item)) for i in (None, 1)], DOCS)
+    assert kept("benchmark decontamination", df.union(bad)) == sorted(rows, key=str)
+    # A passage that one of the texts has from before is cut from that one only.
+    twins = [(None, a), (None, "! " + d + "! " + words(3)), (5, c + "?" + " " + d), (5, words(80)), (6, words(80))]
+    texts = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in twins], DOCS).repartition(3)
+    assert kept("suffix-array dedup", texts) == sorted([(i, t.removesuffix(' ' + d)) for i, t in twins], key=str)
+
+
 @needs_data
 def test_stages_on_odd_rows(spark):
     import corpus_pipeline as pipeline
