@@ -11,8 +11,8 @@ backslash, which is undone exactly by taking one away, so no text can forge a tu
 URL-encoded, which leaves plain words as they are.
 
 Odd input: null text is empty, a null role is empty, a null conv_id is a conversation of its own,
-a conversation whose messages were all withdrawn formats to the empty string. Events equal in
-every column are one event delivered twice and count once; other ties are taken in the order of role and
+a conversation whose messages were all withdrawn formats to the empty string. Events of a log equal in
+every column are one event delivered twice and count once, while equal rows of a table of finished turns are as many turns; other ties are taken in the order of role and
 text. An empty log gives an empty result. A conversation is one output row and so one group: the
 largest conversation, not the number of rows, bounds a task.
 """
@@ -35,13 +35,16 @@ def unescaped(text: Column) -> Column:
 
 
 def turns_as_events(turns: DataFrame) -> DataFrame:
-    """A table of finished turns (conv_id, turn, role, text) as a log: each row is a whole message."""
+    """A table of finished turns (conv_id, turn, role, text) as a log: each row is a whole message,
+    also where rows are equal in every column."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     own = F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("")), F.sha2(F.concat(role, F.lit("\n"), text), 256))
-    return turns.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("seq"), own.alias("message_id"),
-        F.lit("message").alias("op"), role.alias("role"), text.alias("text"),
-    )
+    said = turns.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("seq"), own.alias("own"), role.alias("role"), text.alias("text"))
+    # Equal rows are counted, then numbered, so each has its own message_id. They are spread as final_messages needs them.
+    counted = said.repartition("conv_id").groupBy("conv_id", "seq", "own", "role", "text").agg(F.count("*").alias("n"))
+    return counted.select("conv_id", "seq", "own", "role", "text", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("k")).select(
+        "conv_id", "seq", F.concat_ws(":", "own", F.col("k").cast("string")).alias("message_id"), F.lit("message").alias("op"), "role", "text")
 
 
 def final_messages(events: DataFrame) -> DataFrame:

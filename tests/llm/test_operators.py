@@ -6,6 +6,7 @@ import re
 import zlib
 
 import brute
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -327,6 +328,18 @@ def test_chat_round_trip(spark):
         assert [(t.role, t.text) for t in r.t] == want and r.loss == "".join(x for role, x in want if role == "assistant")
 
 
+@needs_data
+def test_chat_keeps_repeated_turns(spark, tmp_path):
+    turns = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "ok"), (1, 1, "assistant", "ok"), (1, 1, "assistant", "ok"), (1, 1, "assistant", None),
+             (2, None, "assistant", "a"), (2, None, "assistant", "a"), (2, None, None, "b"), (None, 3, "user", "x"), (None, 3, "user", "x")]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    name = "op8_chat_format"
+    problem, n, _ = compare(spark, con, name, queries.QUERIES[name], queries.ORACLES[name], str(tmp_path))
+    assert problem is None and n == 4
+
+
 def test_quality_features(docs):
     for _, text in docs[0]:
         assert quality.features((text or "").encode())[:5] == brute.quality(text)
