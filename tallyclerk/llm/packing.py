@@ -16,6 +16,7 @@ empty table gives an empty result. Columns other than doc_id and text are not lo
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -30,6 +31,8 @@ SPECIAL = "<|endoftext|>"
 COLUMNS = "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()
 # Fixed value: how byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space this long could overflow the stack of the faster library.
+LONG_SPACE = re.compile(r"(?<!\s)\s{100000}")
 #: Windows filled less than this share are poured into one another.
 FILLED = 0.995
 
@@ -38,7 +41,7 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the byte-level BPE file's own.
 
     The file's merges are run by a second library that is several times faster and takes them as
-    ranks; texts with the special token go through the file's own library.
+    ranks; texts with the special token or a very long run of white space go through the file's own library.
     """
 
     def __init__(self, file: str) -> None:
@@ -55,7 +58,8 @@ class Encoder:
         self.whole = Tokenizer.from_file(file)
 
     def encode(self, text: str) -> bytes:
-        ids = self.whole.encode(text, add_special_tokens=False).ids if SPECIAL in text else self.fast.encode_ordinary(text)
+        whole = SPECIAL in text or len(text) >= 100_000 and LONG_SPACE.search(text)
+        ids = self.whole.encode(text, add_special_tokens=False).ids if whole else self.fast.encode_ordinary(text)
         return np.array(ids, "<u4").tobytes()
 
 

@@ -114,6 +114,13 @@ def test_packing(spark, docs):
     assert packing.pack(df.limit(0), BPE).count() == 0
 
 
+def test_long_runs_of_white_space():
+    encoder, space = packing.Encoder(BPE), " \n" * 600_000
+    for text in (f"a{space}b c", space, "x y " * 40_000 + "\u00a0" * 1_100_000, " " * 99_999 + "a"):
+        want = encoder.whole.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+
+
 def test_best_fit_is_tightest():
     rng = random.Random(2)
     lengths = [rng.randint(1, 100) for _ in range(400)]
