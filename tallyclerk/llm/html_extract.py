@@ -2,7 +2,9 @@
 
 A page becomes a tree of elements (with the implied ends of HTML: a paragraph ends where the next
 block begins, and so on). Elements that by tag, role or name are no article text - menus, footers,
-forms, adverts, comments and the like - are out with all they hold. Each remaining block of text
+forms, adverts, comments and the like - are out with all they hold. A form, or an element that only its
+name speaks against, is a wrapper and not out if it holds the only article or main element with text, or, in
+a page without one, more than half of the text when next to none is left outside. Each remaining block of text
 gives points for its length and its commas, less the share of its text in links, to its parent in
 full and to further ancestors less. The container with the most points, less its own link
 share, is kept - widened to the article or main element around it - and with it those siblings of its kind that also score.
@@ -57,34 +59,42 @@ ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
 
 
-def is_out(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article, judged by itself."""
-    if tag in OUT_TAGS or tag == "header" and not in_article:
-        return True
+#: What speaks against an element: nothing, its name or being a form, or anything else.
+FINE, DOUBTFUL, OUT = range(3)
+#: Share of the text that is next to none.
+LEFT = 0.1
+
+
+def is_out(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is no part of an article, judged by itself: FINE, DOUBTFUL or OUT."""
+    if tag in OUT_TAGS and tag != "form" or tag == "header" and not in_article:
+        return OUT
     if not attributes or tag in KEEP_TAGS:
-        return False
+        return DOUBTFUL if tag == "form" else FINE
     named = []
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key == "role" and value.lower() in OUT_ROLES:
-            return True
+            return OUT
+        if key == "role" and value.lower() in OUT_ROLES and value.lower() != "form":
+            return OUT
+        if key == "role" and value.lower() == "form":
+            named.append("form")
         if key in ("class", "id"):
             named += value.split()
     for name in named:
         parts = [p.lower() for p in NAME.findall(name)]
         for i, part in enumerate(parts):
             if part in OUT_NAMES and not (i and parts[i - 1] in ("no", "has", "with", "without")):
-                return True
-    return False
+                return DOUBTFUL
+    return DOUBTFUL if tag == "form" else FINE
 
 
 class Page:
     """Elements in page order (parents first) and the texts and breaks between them."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.out, self.article, self.good = ["#page"], [-1], [False], [False], [False]
+        self.tag, self.parent, self.judged, self.article, self.good = ["#page"], [-1], [FINE], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []
         stack = [0]
         for m in TOKEN.finditer(html):
@@ -99,6 +109,7 @@ class Page:
                 self._end(stack, name)
             else:
                 self._start(stack, name, m[4] if m[3] else m[7])
+        self._leave_out()
 
     def _cut(self, stack: list[int], to: int) -> None:
         """Close the elements of the stack from place `to` on."""
@@ -127,7 +138,7 @@ class Page:
             return
         self.parent.append(top)
         self.tag.append(name)
-        self.out.append(self.out[top] or is_out(name, attributes, self.article[top]))
+        self.judged.append(is_out(name, attributes, self.article[top]))
         self.article.append(self.article[top] or name in ("article", "main"))
         self.good.append(bool(attributes) and any(p.lower() in GOOD_NAMES for m in re.finditer(r"(?:class|id)\s*=\s*[\"']?([^\"'>]*)", attributes, re.I) for p in NAME.findall(m[1])))
         if not attributes.rstrip().endswith("/") or name in INLINE or name in ENDS_PARAGRAPH:
@@ -144,6 +155,40 @@ class Page:
             if name == "p" and tag in SCOPES:
                 return
 
+    def _leave_out(self) -> None:
+        """What is out, with all it holds; wrappers of the article are not."""
+        n = len(self.tag)
+
+        def inherited(least: int) -> list[bool]:
+            out = [False] * n
+            for i in range(1, n):
+                out[i] = out[self.parent[i]] or self.judged[i] >= least
+            return out
+
+        self.out = inherited(DOUBTFUL)
+        if DOUBTFUL not in self.judged:
+            return
+        surely, size = inherited(OUT), [0] * n
+        for i, piece in self.pieces:
+            if piece and not surely[i]:
+                size[i] += len(piece.strip())
+        left, all_ = sum(s for s, o in zip(size, self.out, strict=True) if not o), sum(size)
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        main = [i for i in range(n) if self.tag[i] in ("article", "main") and size[i] and not surely[i]]
+        wrappers: set[int] = set()
+        if main and all(self.out[i] for i in main):
+            for i in main:
+                while i > 0 and i not in wrappers:
+                    wrappers.add(i)
+                    i = self.parent[i]
+        elif not main and left < LEFT * all_:
+            wrappers = {i for i in range(n) if 2 * size[i] > all_}
+        if wrappers:
+            for i in wrappers:
+                self.judged[i] = FINE
+            self.out = inherited(DOUBTFUL)
+
     def text(self) -> str:
         n = len(self.tag)
         length, links, commas = [0] * n, [0] * n, [0] * n  # of the texts right in a block

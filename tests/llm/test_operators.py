@@ -161,6 +161,21 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<form id=f1><div class=ad>x</div><article><p>the page</p></article></form>", "the page"),
+        ("<a href=#c>Skip</a><form><nav>menu</nav><div><p>the whole page, as some servers write it, in a form</p></div></form>", "the whole page, as some servers write it, in a form"),
+        ("<div class=layout-sidebar-right><div class=sidebar>side</div><main><p>the page</p></main></div>", "the page"),
+        ("<div id=page class=header-fixed><div class=content><p>the page, long enough</p></div><div class=ad>x</div></div>", "the page, long enough"),
+        ("<article><p>short</p></article><div id=comments><article>a comment, much longer than the page</article></div>", "short"),
+        ("<div><p>short, but the page</p></div><div class=comments><p>a comment, much longer than the page</p></div>", "short, but the page"),
+    ],
+)
+def test_wrappers_are_not_left_out(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)], "page_id bigint, url string, html string, text int")
     got = html_extract.extract(pages).collect()
