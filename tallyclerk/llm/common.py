@@ -1,12 +1,17 @@
-"""Helpers the operators share: shared-folder checkpoints, checked broadcasts, linked groups."""
+"""Helpers the operators share: checked broadcasts, batches by bytes, linked groups."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyclerk.operators.numbering import checkpointed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,16 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared folder and read from there, so lost executors cost nothing.
-
-    The folder is the one in spark.checkpoint.dir; only where none is configured (tests) is one made.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tallyclerk-checkpoint-"))
-    return df.checkpoint(eager=True)
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch cut where the bytes of its text column pass another `size`."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = (np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1).tolist()
+    for at, to in zip([0, *bounds], [*bounds, batch.num_rows], strict=True):
+        yield batch.slice(at, to - at)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

@@ -79,3 +79,80 @@ def decontaminate(rows, items, window=13):
                     names |= windows[w]
         out.append((doc_id, len(words), len(hit), sorted(names), bool(hit) and 20 * len(hit) >= len(words)))
     return out
+
+
+def boundaries(text):
+    return [0, *(m.end() for m in re.finditer("[A-Za-z]+|[^A-Za-z]", text, re.S))]
+
+
+def fill_middle(doc_id, text):
+    """(n, form, prefix_chars, middle_chars, output)"""
+    text = text or ""
+    h = [int(hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()[8 * i : 8 * i + 8], 16) for i in range(4)]
+    at = boundaries(text)
+    n = len(at) - 1
+    a, b = (at[k] for k in sorted((h[0] % (n + 1), h[1] % (n + 1))))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    pre, mid, suf = text[:a], text[a:b], text[b:]
+    if h[3] % 100 < 20:
+        return n, "spm", len(pre), len(mid), "<S>" + suf + "<P>" + pre + "<M>" + mid
+    return n, "psm", len(pre), len(mid), "<P>" + pre + "<S>" + suf + "<M>" + mid
+
+
+def top_k(rows, asked, k, scale=256):
+    """[(query_id, rank, vec_id, score)]; asked: predicate of an id."""
+    import math
+
+    def usable(v):
+        return v is not None and all(x is not None and math.isfinite(x) and math.isfinite(scale * x) for x in v)
+
+    have = [(i, tuple(math.floor(scale * x) for x in v)) for i, v in rows if i is not None and usable(v)]
+    clip = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
+    out = []
+    for query, q in sorted({(i, v) for i, v in have if asked(i)}):
+        scores = sorted((-clip(sum(x * y for x, y in zip(q, v))), i) for i, v in have if i != query)
+        out += [(query, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+def repaired(rows, costs=(0, 1, 2, 5, 5)):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, lines) of one conversation's (turn, role, text)."""
+    keep, rerole, delete, insert, extra = costs
+    rows = sorted(((t, " " if r is None else r, " " if x is None else x) for t, r, x in rows), key=lambda r: (r[0] is not None, r))
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}  # by the initial before
+    whole, counts, seen = {"s": "system", "u": "user", "a": "assistant"}, dict.fromkeys("fine truncated duplicate blank".split(), 0), set()
+
+    def inserted(best):
+        for _ in range(4):
+            for state, (cost, audit, lines) in list(best.items()):
+                for letter in "ua":
+                    if (then := step.get((state, letter))) is not None:
+                        new = (cost + insert, audit + "I", (*lines, whole[letter] + ":"))
+                        best[then] = min(best.get(then, new), new, key=lambda x: x[:2])
+        return best
+
+    best = inserted({"": (0, "", ())})
+    for _, role, text in rows:
+        bare = text.rstrip(SPACE)
+        fault = "blank" if not bare else "duplicate" if (role, text) in seen else "fine" if bare[-1] in ".!?" else "truncated"
+        counts[fault] += 1
+        seen.add((role, text))
+        now = {}
+        for state, (cost, audit, lines) in best.items():
+            found = [(state, (cost + delete, audit + "D", lines))]
+            if fault in ("fine", "truncated"):
+                more = extra * (fault == "truncated")
+                if (then := step.get((state, role[:1]))) is not None:
+                    found.append((then, (cost + keep + more, audit + "K", (*lines, f"{role}:{text}"))))
+                for letter in "ua":
+                    if (then := step.get((state, letter))) is not None:
+                        found.append((then, (cost + rerole + more, audit + "R", (*lines, f"{whole[letter]}:{text}"))))
+            for then, new in found:
+                now[then] = min(now.get(then, new), new, key=lambda x: x[:2])
+        best = inserted(now)
+    cost, audit, lines = min((best[s] for s in ("", "a") if s in best), key=lambda x: x[:2])
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return gaps, counts["blank"], counts["duplicate"], counts["truncated"], illegal, cost, audit, lines
