@@ -5,12 +5,12 @@ in which it is positive and one for those in which it is negative; a query meets
 sign, where the term adds to the score, and no entry adds more than the list's bound. Terms are put in the order
 of their bounds. The weakest, whose bounds together stay under the k-th best score so far, are non-essential:
 a vector found in no other list cannot get among the best. Essential lists are traversed and add up what they
-hold; vectors that can still compete are then probed, first for what essential terms take away, then for
-one non-essential term after another, the strongest first, and leave as soon as the bounds of those left
-cannot carry them to the k-th best. A vector with an equal score stays, since ties go to the smaller id.
+hold; vectors that can still compete are then probed for non-essential terms, the strongest first, and leave as
+soon as the bounds of those left cannot carry them to the k-th best. A vector with an equal score stays, since
+ties go to the smaller id.
 
 Vectors are dealt once to tasks by their id and written down; a task streams its vectors in shards of a bounded
-size, whose posting lists it builds, and keeps the k best of each query. The lists of all tasks are merged
+size and keeps the k best of each query. The lists of all tasks are merged
 by a window of k rows a task for each query. Queries are numbered exactly and travel in passes of at most
 QUERY_BYTES, so neither a task nor the driver ever holds more of them, and each pass scans the vectors again.
 
@@ -36,11 +36,11 @@ from .common import checkpointed
 
 K, SCALE = 5, 256
 #: Bytes of a shard's vectors, and of the queries of one pass, at 8 bytes a component.
-SHARD_BYTES, QUERY_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, QUERY_BYTES = 1 << 20, 16 << 20
+#: Queries that traverse a shard together, and terms that are probed between two looks at the bounds.
+TOGETHER, PROBES = 256, 4
 #: Vectors of one task, where there are enough for all cores.
 TASK_ROWS = 1 << 20
-#: Products and sums below this are exact in 64 bits.
-_SAFE = 1 << 62
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -65,73 +65,66 @@ class Best:
         return int(self.score[-1]) if len(self.score) == self.k else None
 
     def put(self, score: np.ndarray, ids: np.ndarray) -> None:
+        if len(score) > 8 * self.k:
+            some = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]
+            score, ids = score[some], ids[some]
         score, ids = np.concatenate([self.score, score]), np.concatenate([self.id, ids])
         first = np.lexsort((ids, ~score))[: self.k]
         self.score, self.id = score[first], ids[first]
 
 
 class Shard:
-    """Vectors with their posting lists: for each dimension, who is positive and who is negative."""
+    """Vectors of some rows. Embeddings are dense, so a dimension's two posting lists are the positive and
+    the negative entries of its column, and those of many queries are traversed together, as a product."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        self.posting: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        for column in vectors.T:
-            of = [np.flatnonzero(column > 0), np.flatnonzero(column < 0)]
-            self.posting.append([(who, column[who]) for who in of])
-        self.bound = np.array([[max(v.max(initial=0), -v.min(initial=0)) for _, v in two] for two in self.posting], vectors.dtype).reshape(-1, 2)
+        self.bound = np.stack([vectors.max(axis=0, initial=0), -vectors.min(axis=0, initial=0)])
         self.largest = int(self.bound.max(initial=0))
 
-    def search(self, query: np.ndarray, own: int, best: Best) -> None:
-        """Put into `best` every vector that belongs there; `own` is the id of the query."""
-        n, width = self.vectors.shape
-        if not len(self.ids):
+    def _kind(self, queries: np.ndarray, best: list[Best]) -> type:
+        """Numbers in which all sums are exact."""
+        most = self.largest * int(np.abs(queries).max(initial=0)) * max(1, queries.shape[1])
+        most = max([most, *(abs(b.least() or 0) for b in best)])
+        return np.float64 if most < 1 << 53 else np.int64 if most < 1 << 62 else object
+
+    def search(self, queries: np.ndarray, owns: list[int], best: list[Best]) -> None:
+        """Put into each query's `best` every vector that belongs there; `owns` are the ids of the queries."""
+        if not len(self.ids) or not len(owns):
             return
-        vectors = self.vectors
-        if vectors.dtype == object or query.dtype == object or self.largest * int(np.abs(query).max(initial=0)) * max(1, width) >= _SAFE:
-            vectors, query = vectors.astype(object), query.astype(object)
-        sign = (query < 0).astype(np.int64)
-        strength = np.abs(query) * self.bound[np.arange(width), sign].astype(vectors.dtype, copy=False)
-        order = np.argsort(strength, kind="stable")
-        upto = np.cumsum(strength[order])
-        least = best.least()
+        kind = self._kind(queries, best)
+        vectors, queries, bound = (x.astype(kind) for x in (self.vectors, queries, self.bound))
+        strength = np.where(queries < 0, -queries * bound[1], queries * bound[0])
+        order = np.argsort(strength, axis=1, kind="stable")
+        upto = np.cumsum(np.take_along_axis(strength, order, axis=1), axis=1)
+        least = [b.least() for b in best]
         # Non-essential: the weakest terms whose bounds together stay below what gets in.
-        weak = 0 if least is None else int(np.searchsorted(upto, least, "left"))
-        if width and weak == width:
-            return
-        score = np.zeros(n, upto.dtype if width else np.int64)
-        touched = np.zeros(n, bool)
-        for d in order[weak:].tolist():
-            if query[d]:
-                who, value = self.posting[d][sign[d]]
-                score[who] += query[d] * value.astype(vectors.dtype, copy=False)
-                touched[who] = True
-        # While nothing, or a vector that no term speaks for, gets in, all are candidates.
-        who = np.arange(n) if least is None or least <= 0 else np.flatnonzero(touched)
+        weak = [0 if x is None else int((u < x).sum()) for x, u in zip(least, upto, strict=True)]
+        essential = queries.copy()
+        for row, where, n in zip(essential, order, weak, strict=True):
+            row[where[:n]] = 0
+        # What essential lists add and take away; a vector in none of them gets nothing.
+        scores = essential @ vectors.T
+        for i, own in enumerate(owns):
+            if weak[i] < queries.shape[1]:
+                self._probe(scores[i], vectors, queries[i], order[i, : weak[i]], upto[i], least[i], own, best[i])
+
+    def _probe(self, score: np.ndarray, vectors: np.ndarray, query: np.ndarray, weak: np.ndarray, upto: np.ndarray, least: int | None, own: int, best: Best) -> None:
+        """Add non-essential terms, the strongest first, to the scores of vectors that can still get in."""
+        at = len(weak)
+        left = lambda: upto[at - 1] if at else 0
+        who = np.arange(len(score)) if least is None else np.flatnonzero(score + left() >= least)
         who = who[self.ids[who] != own]
         score = score[who]
-        left = upto[weak - 1] if weak else 0
-
-        def competitive() -> None:
-            nonlocal who, score
-            if least is not None:
-                stay = (score + left >= least).astype(bool)
-                who, score = who[stay], score[stay]
-
-        competitive()
-        essential = order[weak:]
-        score = score + np.minimum(vectors[np.ix_(who, essential)] * query[essential], 0).sum(axis=1)
-        for at in range(weak - 1, -1, -1):
-            competitive()
-            if not len(who):
-                return
-            d = order[at]
-            score = score + vectors[who, d] * query[d]
-            left = upto[at - 1] if at else 0
-        competitive()
+        while at and len(who):
+            terms = weak[max(0, at - PROBES) : at]
+            score = score + vectors[np.ix_(who, terms)] @ query[terms]
+            at = max(0, at - PROBES)
+            stay = (score + left() >= least).astype(bool)
+            who, score = who[stay], score[stay]
         if score.dtype == object:
             score = np.array([min(max(int(s), _LEAST), _MOST) for s in score], np.int64)
-        best.put(score, self.ids[who])
+        best.put(score.astype(np.int64), self.ids[who])
 
 
 def _usable(vectors: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
@@ -163,8 +156,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id: str = "vec_id",
                 for at in range(0, batch.num_rows, shard_rows):
                     part = batch.slice(at, shard_rows)
                     shard = Shard(part.column(0).to_numpy(), integers(part.column(1), width, scale))
-                    for query, own, b in zip(queries, owns, best, strict=True):
-                        shard.search(query, own, b)
+                    for first in range(0, len(owns), TOGETHER):
+                        some = slice(first, first + TOGETHER)
+                        shard.search(queries[some], owns[some], best[some])
             many = [len(b.id) for b in best]
             columns = [np.repeat(np.array(numbers, np.int64), many), np.repeat(np.array(owns, np.int64), many)]
             columns += [np.concatenate([*(getattr(b, c) for b in best), np.zeros(0, np.int64)]).astype(np.int64) for c in ("id", "score")]

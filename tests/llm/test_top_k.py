@@ -56,13 +56,19 @@ def test_odd_vectors(spark):
 
 
 def test_weak_terms_are_not_traversed(monkeypatch):
-    """Once the k-th best is known, lists of non-essential terms are not read."""
-    ids = np.arange(300)
+    """Once the k-th best is known, non-essential terms are read of vectors that can still get in, only."""
     values = np.zeros((300, 4))
     values[:, 0], values[:3, 1], values[:, 2] = 0.01, 9, 0.01
-    shard = top_k.Shard(ids, top_k.integers(pa.array(values.tolist()), 4))
-    best, query = top_k.Best(2), np.array([256, 256, 256, 0])
+    shard = top_k.Shard(np.arange(300), top_k.integers(pa.array(values.tolist()), 4))
+    best, probed = top_k.Best(2), []
     best.put(np.array([5_000, 4_900]), np.array([1000, 1001]))
-    shard.posting[0] = shard.posting[2] = None  # would fail if traversed
-    shard.search(query, -1, best)
+    plain = shard._probe
+
+    def probe(score, vectors, query, weak, *rest):
+        probed.append((score.tolist(), sorted(weak.tolist())))
+        plain(score, vectors, query, weak, *rest)
+
+    monkeypatch.setattr(shard, "_probe", probe)
+    shard.search(np.array([[256, 256, 256, 0]]), [-1], [best])
+    assert probed == [([256 * 2304.0] * 3 + [0.0] * 297, [0, 2, 3])]
     assert best.id.tolist() == [0, 1] and best.score.tolist() == [256 * (2304 + 2 + 2)] * 2
