@@ -24,6 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch that travels to Python, where the session does not say.
+ARROW_BYTES = 2 << 20
+_ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def by_bytes(df: DataFrame) -> DataFrame:
+    """`df`, whose rows are to go to Python in batches bounded by bytes, not only by their number.
+
+    By default a batch has 10,000 rows whatever they hold, so a batch of long texts could fill an executor.
+    The session's own limit stands where it has one.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_ARROW_LIMIT, str((1 << 31) - 1)).rstrip("bB")) >= (1 << 31) - 1:
+        conf.set(_ARROW_LIMIT, str(ARROW_BYTES))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
     """The batch cut where the bytes of its text column pass another `size`."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import by_bytes, slices
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of 100 documents so many are rearranged; of 100 of these so many begin with the suffix.
@@ -141,4 +141,4 @@ def fill_in_middle(documents: DataFrame, seed: int = 1, rate: int = RATE, spm_ra
                     ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"])
 
     asked = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), draws.alias("draws"))
-    return asked.mapInArrow(run, "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output string")
+    return by_bytes(asked).mapInArrow(run, "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output string")

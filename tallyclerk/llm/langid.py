@@ -4,12 +4,13 @@ Texts become lower-case letters with every other character a space; their 1-, 2-
 hashed into `2 ** BITS` features, weighted by relative frequency times inverse document frequency.
 The model is trained with follow-the-regularised-leader (per-coordinate rates, elastic net) on a
 bounded sample of labelled documents, and its scores are calibrated with a temperature fitted on a
-part of the sample that training did not see. Predicting is one pass over the texts in Arrow
-batches: no shuffle, and whole texts, in pieces where they are long.
+part of the sample that training did not see. Document frequencies are counted over all documents that may
+be learned from. Predicting is one pass over the texts in Arrow batches: no shuffle, and whole texts, in
+pieces where they are long.
 
 The fit uses at most about `per_lang` documents of each language (a hashed sample of the training
-documents, so it does not depend on order), each of at most `max_chars` characters; features that
-the sample lacks weigh nothing. This is the only bounded part.
+documents, so it does not depend on order), of longer ones a stretch of `max_chars` characters from a hashed
+place on, and of more than `max_langs` languages those with the most documents. This is the only bounded part.
 
 Odd input: a null text and one without a letter are `und` with score 0; so is everything when there
 is nothing to learn from. Rows with null lang teach nothing. Repeated rows are predicted each.
@@ -24,10 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, PER_LANG, MAX_CHARS, EPOCHS = 16, 400, 100_000, 6
+from .common import by_bytes
+
+BITS, PER_LANG, MAX_CHARS, MAX_LANGS, EPOCHS = 16, 400, 100_000, 200, 6
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1e-3
 SCALE = 30.0
 UNKNOWN = "und"
@@ -104,8 +108,11 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 1) -> Model:
-    """Train on the given documents; a fifth of them only sets the temperature."""
+def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 1, frequencies: tuple[int, np.ndarray] | None = None) -> Model:
+    """Train on the given documents; a fifth of them only sets the temperature.
+
+    frequencies: a number of documents and in how many of them each feature is; by default those trained on.
+    """
     langs = sorted(set(labels))
     rows = [(langs.index(y), np.concatenate([*grams(x)])) for t, y in zip(texts, labels, strict=True) if ((x := letters_of(t)) != 32).any()]
     if not rows:
@@ -118,6 +125,8 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 1
         if i not in spare:
             seen[f] += 1
     n_train = len(rows) - len(spare)
+    if frequencies is not None:
+        n_train, seen = frequencies
     idf = np.where(seen > 0, np.log((1 + n_train) / (1 + seen)) + 1, 0.0)
     vectors = [(f, SCALE * (k / k.sum()) * idf[f]) for f, k in counts]
     z, n = np.zeros((1 << BITS, len(langs))), np.zeros((1 << BITS, len(langs)))
@@ -153,21 +162,56 @@ def fit(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 1
     return model
 
 
-def training_sample(documents: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> DataFrame:
+def learnable(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, lang) of documents that may be learned from."""
+    return documents.select("doc_id", "text", "lang").filter(
+        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def training_sample(documents: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS, max_langs: int = MAX_LANGS) -> DataFrame:
     """(text, lang) of about `per_lang` documents of each language, none of them held out."""
-    usable = documents.select("doc_id", "text", "lang").filter(
-        F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    usable = learnable(documents)
+    most = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    counts = {r.lang: r.n for r in most.collect()}
     if not counts:
         return usable.select("text", "lang")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) / 1_000_003
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, per_lang / n))) for k, n in counts.items()])
-    return usable.filter(draw < share).select("text", "lang")
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - max_chars, F.lit(0)) + 1) + 1
+    return usable.filter(draw < share).select(F.substring("text", begin.cast("int"), F.lit(max_chars)).alias("text"), "lang")
+
+
+def document_frequencies(documents: DataFrame) -> tuple[int, np.ndarray]:
+    """How many documents there are to learn from, and in how many of them each feature is.
+
+    A task adds up its documents and sends a row per feature, of which there are 2 ** BITS.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1 << BITS, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                letters, has = letters_of(text), np.zeros(1 << BITS, bool)
+                for g in grams(letters):
+                    has[g] = True
+                total += has
+                n += bool(has.any())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["f", "n"])
+
+    rows = by_bytes(learnable(documents)).select("text").mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect()
+    seen, n = np.zeros(1 << BITS), 0
+    for r in rows:
+        if r.f < 0:
+            n = r.n
+        else:
+            seen[r.f] = r.n
+    return n, seen
 
 
 def fit_documents(documents: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS) -> Model:
     rows = sorted((r.lang, r.text) for r in training_sample(documents, per_lang, max_chars).collect())
-    return fit([t for _, t in rows], [y for y, _ in rows])
+    return fit([t for _, t in rows], [y for y, _ in rows], frequencies=document_frequencies(documents))
 
 
 def said(text: Column, model: Model, documents: DataFrame) -> Column:
@@ -188,5 +232,5 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     """`documents` with lang_pred and score, in place of columns of those names."""
     others = [F.col(f"`{c}`") for c in documents.columns if c not in ("lang_pred", "score")]
     own = "_said" + "_" * max(map(len, documents.columns))  # longer than any name that is there
-    parts = documents.select(*others, said(F.col("text"), model, documents).alias(own))
+    parts = by_bytes(documents).select(*others, said(F.col("text"), model, documents).alias(own))
     return parts.select(*others, F.col(f"{own}.lang_pred").alias("lang_pred"), F.col(f"{own}.score").alias("score"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 CAPACITY, SEPARATOR, GROUP_TOKENS = 1024, 0, 3_000_000
 SPECIAL = "<|endoftext|>"
 COLUMNS = "doc_id start length ids_crc32 doc_tokens sequence_id offset".split()
@@ -46,7 +49,6 @@ class Encoder:
 
     def __init__(self, file: str) -> None:
         from tiktoken import Encoding
-        from tokenizers import Tokenizer
 
         with open(file, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
@@ -55,7 +57,14 @@ class Encoder:
         written = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
         ranks = {bytes(map(written.__getitem__, token)): i for token, i in vocabulary.items() if token != SPECIAL}
         self.fast = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(file)
+        self.file = file
+
+    @cached_property
+    def whole(self):
+        """The file's own library, loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
 
     def encode(self, text: str) -> bytes:
         whole = SPECIAL in text or len(text) >= 100_000 and LONG_SPACE.search(text)
@@ -172,4 +181,4 @@ def pack(documents: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, se
             yield rows(pack_group(waiting, capacity), number)
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in COLUMNS))
+    return by_bytes(texts).mapInArrow(run, ", ".join(f"{c} bigint" for c in COLUMNS))

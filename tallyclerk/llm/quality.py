@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules are fixed. Beyond them, each rule compares one rate of a document with a cutoff that is
-chosen per stratum (language) from labelled documents: of the documents labelled good in a stratum,
-a cutoff's false rejections are counted, and the exact (Clopper-Pearson) upper bound of their rate
-must not exceed `alpha`. Each (stratum, rule) tests its cutoffs from lax to strict and stops at the
-first that fails, which needs no correction along the sequence; across strata and rules the error
-`delta` is divided (Bonferroni). So with probability 1 - delta no certified cutoff rejects more than
-`alpha` of the good documents of its stratum. Among certified cutoffs the one is taken that rejects
+chosen per stratum (language) from labelled documents. What is limited is the share of a stratum's good
+documents that all rules together reject, the base rules included: the exact (Clopper-Pearson) upper bound of
+the base rules' rate is taken from `alpha`, and what is left is divided among the other rules. A cutoff's false
+rejections are counted, and the exact upper bound of their rate must not exceed the rule's part. Each
+(stratum, rule) tests its cutoffs from lax to strict and stops at the first that fails, which needs no
+correction along the sequence; across strata and rules the error `delta` is divided (Bonferroni). So with
+probability 1 - delta not more than `alpha` of the good documents of any stratum are lost - unless the base rules
+alone may lose as much, and then no other rule is used there. Among certified cutoffs the one is taken that rejects
 the most bad documents, less `COST` for each good one, so that clean documents stay; a rule for which
 that is never positive is not used, and a stratum with too few labels for a certificate gets none.
 
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed
+from .common import broadcast_if_small, by_bytes, checkpointed
 
-ALPHA, DELTA, BINS, COST = 0.02, 0.05, 200, 5
+ALPHA, DELTA, BINS, COST = 0.05, 0.05, 200, 5
 SYMBOLS, SPACES, UPPER = "#*$%&|<>", " \t\n\x0b\x0c\r", bytes(range(65, 91))
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 COUNTS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_upper n_marks".split()
@@ -92,7 +94,7 @@ def document_features(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(rows[:, i]) for i in range(len(COUNTS)))], ["doc_id", "stratum", *COUNTS])
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("stratum"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, stratum string, " + ", ".join(f"{c} bigint" for c in COUNTS))
+    return by_bytes(texts).mapInArrow(run, "doc_id bigint, stratum string, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
 BASE_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words"
@@ -110,6 +112,17 @@ def certified(lost: int, n: int, alpha: float, error: float) -> bool:
     return lost < n and float(np.exp(logs).sum()) <= error
 
 
+def upper_bound(lost: int, n: int, error: float) -> float:
+    """The exact upper bound of a rate of which `lost` of n were seen; 1 where it has none."""
+    low, high = 0.0, 1.0
+    if lost >= n:
+        return 1.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        low, high = (low, mid) if certified(lost, n, mid, error) else (mid, high)
+    return high
+
+
 def certified_cutoff(bins: np.ndarray, good: np.ndarray, bad: np.ndarray, n_good: int, alpha: float, error: float) -> float | None:
     """Cutoff bin c of a rule (reject where the bin is above c), or None.
 
@@ -130,13 +143,18 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """(stratum, one column per rule: the bin from which on it rejects, or null)."""
     truth = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rates = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), _bin(v).alias("bin")) for k, v in RULES.items()]))
-    rows = measured.filter(~F.expr(BASE_FAILED)).join(truth, "doc_id").select("stratum", "quality", rates.alias("r"))
+    told = measured.join(truth, "doc_id").withColumn("failed", F.expr(BASE_FAILED))
+    good = F.col("quality") >= 1
+    base = told.groupBy("stratum").agg(F.count_if(good).alias("n_good"), F.count_if(good & F.col("failed")).alias("n_failed"))
+    rows = told.filter(~F.col("failed")).select("stratum", "quality", rates.alias("r"))
     counts = rows.groupBy("stratum", "r.rule", "r.bin").agg(F.count_if(F.col("quality") >= 1).alias("good"), F.count_if(F.col("quality") < 1).alias("bad"))
-    counts = checkpointed(counts)
-    tests = counts.select("stratum").distinct().count() * len(RULES)
+    counts = checkpointed(counts.join(broadcast_if_small(base, 10_000), "stratum"))
+    tests = max(1, counts.select("stratum").distinct().count() * (len(RULES) + 1))
 
     def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = certified_cutoff(rows["bin"].to_numpy(), rows["good"].to_numpy(), rows["bad"].to_numpy(), int(rows["good"].sum()), alpha, delta / max(tests, 1))
+        n = int(rows["n_good"].iloc[0])
+        part = (alpha - upper_bound(int(rows["n_failed"].iloc[0]), n, delta / tests)) / len(RULES)
+        at = certified_cutoff(rows["bin"].to_numpy(), rows["good"].to_numpy(), rows["bad"].to_numpy(), n, part, delta / tests) if part > 0 else None
         return pd.DataFrame({"stratum": [key[0]], "rule": [key[1]], "cutoff": [at]})
 
     chosen = counts.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, linked_groups
+from .common import by_bytes, checkpointed, linked_groups
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 _CHUNK = 1 << 16
@@ -63,7 +63,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "text_key"])
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key"))
-    return texts.mapInArrow(run, "doc_id bigint, fp bigint, text_key bigint")
+    return by_bytes(texts).mapInArrow(run, "doc_id bigint, fp bigint, text_key bigint")
 
 
 class BKTree:

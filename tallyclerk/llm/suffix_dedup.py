@@ -39,17 +39,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed
+from .common import broadcast_if_small, by_bytes, checkpointed
 
 LENGTH, GRAM = 100, 24  # the hash below takes three words of 8 bytes
 ADDED = "kept kept_text n_bytes n_removed n_spans".split()
 #: Doc_ids with several texts that are broadcast; more meet in a shuffle.
 BROADCAST_ROWS = 100_000
 #: Bytes of stretches in one suffix array.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Bytes of stretches of one anchor up to which they are settled together in one task.
 HOT = 4 << 20
-_CHUNK = (1 << 20) - 256
+_CHUNK = (1 << 18) - 256
 _LOW = np.uint64((1 << 20) - 1)
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -305,7 +305,7 @@ def _removed(keyed: DataFrame, key: str, twin: str, length: int) -> DataFrame:
     them, so Spark shuffles the texts once for both.
     """
     hot_bytes = HOT
-    texts = keyed.select(F.col(key).alias("doc"), F.col(twin).alias("twin"), F.col("text").cast("binary").alias("text"))
+    texts = by_bytes(keyed).select(F.col(key).alias("doc"), F.col(twin).alias("twin"), F.col("text").cast("binary").alias("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A row per anchor; one of each hash in the batch asks whether others have it too.

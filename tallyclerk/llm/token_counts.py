@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 MARK, SPACES, MAX_NODES = "▁", " \t\n\x0b\x0c\r", 600_000
 #: Added to ranks, so that the first pieces don't outweigh all others.
 RANK_SHIFT = 10
@@ -92,4 +94,4 @@ def count_tokens(documents: DataFrame, model_file: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint")
+    return by_bytes(texts).mapInArrow(run, "doc_id bigint, n_words bigint, n_tokens bigint")
