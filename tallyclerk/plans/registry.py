@@ -60,7 +60,8 @@ scored AS (SELECT t.email_id, t.category AS actual, v.category AS predicted, t.s
 _WORDS = "[" + ", ".join(f"'{w}'" for w in V.NUMBER_WORDS) + "]"
 
 
-def _side_sql(side: str) -> str:
+def _side_parts(side: str) -> list[dict[str, str]]:
+    """By field, the SQL of its columns in a document of this side."""
     name = lambda c: f"upper(replace(replace({c}, '#', ' '), '_', ' '))"
     port, goal = "pol_n || ', ' || pol_r", "pod_n || ', ' || pod_r"
     if side == "SI":
@@ -103,9 +104,6 @@ def _side_sql(side: str) -> str:
             "container_count": f"CAST(n_items + CASE WHEN {is_defect('container_count')} THEN 1 ELSE 0 END AS VARCHAR)",
             "gross_weight_kg": f"CAST(kg + CASE WHEN {is_defect('gross_weight_kg')} THEN 500 ELSE 0 END AS VARCHAR)",
         }
-    kinds = "('one_doc','unreadable','wrong_type','absent_file','invoice_trap','scanned','blank_weight','silent','pair')"
-    if side == "BL":
-        kinds = "('wrong_type','invoice_trap','scanned','blank_weight','silent','pair')"
     plain_line = dict(zip(V.FIELDS, (4, 6, 8, 10, 11, 12, 13)))
     wrapped_line = dict(zip(V.FIELDS, (5, 8, 11, 14, 16, 18, 20)))
     parts = []
@@ -118,27 +116,49 @@ def _side_sql(side: str) -> str:
         extra = "+ CASE WHEN kind = 'wrong_type' THEN 1 ELSE 0 END" if side == "BL" else ""
         blank = "(kind = 'blank_weight')" if (side, f) == ("SI", "gross_weight_kg") else "false"
         gone = f"({blank} AND k % 4 = 3)"
-        parts.append(
-            f"SELECT k, email_id, kind, '{side}' AS side, {i} AS field_no, '{f}' AS field, {value[f]} AS value,"
-            f" CASE WHEN NOT {gone} THEN {raw[f]} END AS raw,"
-            f" CASE WHEN {blank} THEN 0.0 WHEN kind = 'scanned' THEN 0.5 ELSE [0.95, 0.85, 0.7, 0.8][k % 4 + 1] END AS confidence,"
-            f" CASE WHEN kind = 'scanned' THEN 'ocr' ELSE 'rule' END AS method,"
-            f" CASE WHEN {gone} THEN -1 WHEN k % 4 = 3 THEN {wrapped_line[f]} {extra} ELSE {plain_line[f]} {extra} END AS line,"
-            f" CASE WHEN {gone} THEN '' ELSE {label} END AS label_seen FROM ship WHERE kind IN {kinds}"
-        )
-    return " UNION ALL ".join(parts)
+        parts.append({
+            "value": value[f],
+            "raw": f"CASE WHEN NOT {gone} THEN {raw[f]} END",
+            "confidence": f"CASE WHEN {blank} THEN 0.0 WHEN kind = 'scanned' THEN 0.5 ELSE [0.95, 0.85, 0.7, 0.8][k % 4 + 1] END",
+            "method": "CASE WHEN kind = 'scanned' THEN 'ocr' ELSE 'rule' END",
+            "line": f"CASE WHEN {gone} THEN -1 WHEN k % 4 = 3 THEN {wrapped_line[f]} {extra} ELSE {plain_line[f]} {extra} END",
+            "label_seen": f"CASE WHEN {gone} THEN '' ELSE {label} END",
+        })
+    return parts
+
+
+_KINDS = {
+    "SI": "('one_doc','unreadable','wrong_type','absent_file','invoice_trap','scanned','blank_weight','silent','pair')",
+    "BL": "('wrong_type','invoice_trap','scanned','blank_weight','silent','pair')",
+}
+
+
+def _side_sql(side: str) -> str:
+    """A row per document and field."""
+    return " UNION ALL ".join(
+        f"SELECT k, email_id, kind, '{side}' AS side, {i} AS field_no, '{f}' AS field, " + ", ".join(f"{sql} AS {c}" for c, sql in part.items()) + f" FROM ship WHERE kind IN {_KINDS[side]}"
+        for i, (f, part) in enumerate(zip(V.FIELDS, _side_parts(side))))
+
+
+def _both_sql() -> str:
+    """A row per message and field, with what either document says; both come from one row of ship."""
+    short = {"value": "value", "raw": "raw", "line": "line", "label_seen": "label"}
+    structs = []
+    for i, (f, si, bl) in enumerate(zip(V.FIELDS, _side_parts("SI"), _side_parts("BL"))):
+        columns = {"field_no": str(i), "field": f"'{f}'"}
+        columns |= {f"{side}_{name}": part[c] for side, part in (("si", si), ("bl", bl)) for c, name in short.items()}
+        structs.append("{" + ", ".join(f"'{name}': {sql}" for name, sql in columns.items()) + "}")
+    return f"SELECT k, email_id, kind, unnest([{', '.join(structs)}]) AS f FROM ship WHERE kind IN ('pair', 'silent', 'blank_weight', 'scanned')"
 
 
 FIELDS_SQL = f"{SHIP_SQL},\nfields AS MATERIALIZED ({_side_sql('SI')} UNION ALL {_side_sql('BL')})"
-COMPARED_SQL = f"""{FIELDS_SQL},
-cmp AS (SELECT s.k, s.email_id, s.kind, s.field_no, s.field, s.value AS si_value, b.value AS bl_value, s.raw AS si_raw,
-  b.raw AS bl_raw, s.line AS si_line, b.line AS bl_line, s.label_seen AS si_label, b.label_seen AS bl_label,
-  CASE WHEN s.value IS NULL THEN 'uncertain' WHEN s.kind = 'scanned' THEN 'uncertain' WHEN s.value = b.value THEN 'match'
+COMPARED_SQL = f"""{SHIP_SQL},
+cmp AS (SELECT k, email_id, kind, f.field_no, f.field, f.si_value, f.bl_value, f.si_raw, f.bl_raw, f.si_line, f.bl_line, f.si_label, f.bl_label,
+  CASE WHEN f.si_value IS NULL THEN 'uncertain' WHEN kind = 'scanned' THEN 'uncertain' WHEN f.si_value = f.bl_value THEN 'match'
     ELSE 'mismatch' END AS status,
-  CASE WHEN s.value IS NULL THEN 'value not found in the SI' WHEN s.kind = 'scanned' THEN 'extracted with low confidence'
+  CASE WHEN f.si_value IS NULL THEN 'value not found in the SI' WHEN kind = 'scanned' THEN 'extracted with low confidence'
     END AS reason
-  FROM fields s JOIN fields b USING (k, field_no) WHERE s.side = 'SI' AND b.side = 'BL'
-  AND s.kind IN ('pair', 'silent', 'blank_weight', 'scanned'))"""
+  FROM ({_both_sql()}))"""
 
 
 def with_(ctes: str, body: str) -> str:
