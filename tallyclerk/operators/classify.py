@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyclerk import vocab as V
 from tallyclerk.functions.text import _col, canonical, sender_domain
+from tallyclerk.operators.numbering import numbered
 
 CLASS_STRUCT = "struct<category:string,confidence:double,method:string,evidence:string>"
 
@@ -70,39 +74,74 @@ def rules_table(spark, rules=None) -> DataFrame:
     )
 
 
-#: Rule lists of up to this many rows are broadcast; longer ones are joined by shuffle.
+#: Rule lists of up to this many rows are tested one by one; longer ones become automata.
 BROADCAST_RULES = 2_000
+#: Characters of phrases that one automaton is built of, so what a worker holds is bounded.
+AUTOMATON_CHARS = 8 << 20
 
 
 def match_rules_table(
-    messages: DataFrame, rules: DataFrame, body: str = "canonical_body", key: str = "email_id"
+    messages: DataFrame, rules: DataFrame, body: str = "canonical_body"
 ) -> DataFrame:
     """First matching rule when rules are data; adds `rule`, NULL where none matches.
 
-    A rule list stays a table.  A short one travels as one row to every task, and messages
-    are not shuffled.  A longer one is met through the opening characters of its phrases:
-    as many as the shortest phrase has, looked up at every place of a body; only rules met
-    that way are tested.  Both give the same rows.  `key` is unique.
+    A rule list stays a table.  A short one travels as one row to every task.  A longer one
+    is numbered in the order of its rules and cut into blocks of bounded size; of each block
+    every worker builds an Aho-Corasick automaton, which reads a body once whatever the
+    number of phrases, and a body that a block settles is not read for later ones.  Messages
+    are never shuffled or exploded, and both ways give the same rows.
     """
     usable = rules.filter(F.coalesce(F.length("phrase"), F.lit(0)) > 0)
     entry = F.struct("priority", "category", "phrase", F.col("confidence").cast("double").alias("confidence"))
-    width = usable.agg(F.min(F.length("phrase")).alias("w"), F.count("*").alias("n")).first()
-    if width.n <= BROADCAST_RULES:
+    if usable.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
         listed = F.broadcast(usable.agg(F.sort_array(F.collect_list(entry)).alias("_rules")))
         first = F.get(F.filter("_rules", lambda r: F.contains(F.col(body), r["phrase"])), F.lit(0))
-        step = messages.crossJoin(listed).withColumn("_first", first)
+        step = messages.crossJoin(listed).withColumn("_first", first).drop("_rules")
     else:
-        w = width.w
-        places = F.sequence(F.lit(1), F.length(body) - (w - 1))
-        openings = F.array_distinct(F.transform(places, lambda i: F.substring(F.col(body), i, F.lit(w))))
-        met = messages.filter(F.length(body) >= w).select(F.col(key).alias("_key"), F.explode(openings).alias("_opening"))
-        by_opening = usable.select(F.substring("phrase", 1, w).alias("_opening"), entry.alias("_entry"))
-        candidates = met.join(by_opening, "_opening").groupBy("_key").agg(F.sort_array(F.collect_set("_entry")).alias("_rules"))
-        step = messages.join(candidates, F.col(key) == F.col("_key"), "left").drop("_key")
-        step = step.withColumn("_first", F.get(F.filter("_rules", lambda r: F.contains(F.col(body), r["phrase"])), F.lit(0)))
+        step = messages.withColumn("_first", F.lit(None).cast(RULE_STRUCT))
+        for block in _rule_blocks(usable.select(entry.alias("r")).select("r.*")):
+            found = _first_of(messages.sparkSession, block)(F.when(F.col("_first").isNull(), F.col(body)))
+            step = step.withColumn("_first", F.coalesce("_first", found))
     first = F.col("_first")
     rule = classification(first["category"], first["confidence"], "rule", first["phrase"])
-    return step.withColumn("rule", F.when(first.isNotNull(), rule)).drop("_rules", "_first")
+    return step.withColumn("rule", F.when(first.isNotNull(), rule)).drop("_first")
+
+
+RULE_STRUCT = "struct<priority:int,category:string,phrase:string,confidence:double>"
+
+
+def _rule_blocks(rules: DataFrame) -> Iterator[list[tuple]]:
+    """The rules in order, in blocks of some AUTOMATON_CHARS; one block at a time is on the driver."""
+    ordered = numbered(rules, "priority", "category", "phrase", "confidence")
+    size = ordered.agg(F.count("*").alias("n"), F.max(F.length("phrase")).alias("w")).first()
+    rows = max(1, AUTOMATON_CHARS // size.w)
+    for at in range(0, size.n, rows):
+        block = ordered.filter(F.col("n").between(at, at + rows - 1)).orderBy("n").collect()
+        yield [(r.priority, r.category, r.phrase, r.confidence) for r in block]
+
+
+def _first_of(spark, rules: list[tuple]):
+    """Function of a text column: the first of the rules whose phrase it holds."""
+    shared = spark.sparkContext.broadcast(rules)
+
+    @F.pandas_udf(RULE_STRUCT)
+    def first(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        rules, automaton = shared.value, ahocorasick.Automaton()
+        for n, rule in enumerate(rules):
+            if rule[2] not in automaton:  # of equal phrases the first rule wins
+                automaton.add_word(rule[2], n)
+        automaton.make_automaton()
+        for texts in bodies:
+            rows = []
+            for text in texts:
+                best = min((n for _, n in automaton.iter(text)), default=None) if text else None
+                rows.append(rules[best] if best is not None else (None,) * 4)
+            frame = pd.DataFrame(rows, columns=["priority", "category", "phrase", "confidence"], dtype=object)
+            yield frame.astype({"priority": "Int32", "confidence": "Float64"})
+
+    return first
 
 
 def unsure(classified: DataFrame, threshold: float = V.TRUST_THRESHOLD, column="classification") -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyclerk import vocab as V
 from tallyclerk.functions.text import _col, collapse, content_key
 from tallyclerk.operators.classify import unsure, validated_answer
+from tallyclerk.operators.numbering import numbered
 
 # How much of a message a prompt shows.
 SINGLE_LIMITS = {"subject": 200, "body": 1200}
@@ -42,19 +44,19 @@ def render_prompt(
     return F.concat(*_template(template, sender=shown_sender, subject=shown_subject, body=shown_body))
 
 
-def batch_prompts(pending: DataFrame, key: str = "email_id", size: int = V.BATCH_SIZE, template: str = "{emails}", rows_per_bucket: int = 20_000) -> DataFrame:
-    """One prompt for up to `size` messages: (bucket, batch, ids, prompt).
+def batch_prompts(pending: DataFrame, key: str = "email_id", size: int = V.BATCH_SIZE, template: str = "{emails}") -> DataFrame:
+    """One prompt for every `size` messages in the order of their key: (batch, ids, prompt).
 
-    Each message is shown shortened under its id; a batch holds `size` of them at most, so
-    what is gathered is bounded.
+    Each message is shown shortened under its id; only the last batch is short, and what is
+    gathered is a batch.
     """
     shown = render_prompt("from", "subject", "body", BATCH_ENTRY.replace("{id}", "\x00"), BATCH_LIMITS)
     entry = F.replace(shown, F.lit("\x00"), F.col(key).cast("string"))
-    rows = pack_batches(pending.withColumn("_entry", entry), key, size, rows_per_bucket=rows_per_bucket)
-    batch = rows.groupBy("bucket", "batch").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), "_entry"))).alias("_rows"))
+    rows = pack_batches(pending.select(F.col(key), entry.alias("_entry")), key, size)
+    batch = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("id"), "_entry"))).alias("_rows"))
     before, _, after = template.partition("{emails}")
     text = F.array_join(F.transform("_rows", lambda r: r["_entry"]), "\n\n")
-    return batch.select("bucket", "batch", F.transform("_rows", lambda r: r["id"]).alias("ids"), F.concat(F.lit(before), text, F.lit(after)).alias("prompt"))
+    return batch.select("batch", F.transform("_rows", lambda r: r["id"]).alias("ids"), F.concat(F.lit(before), text, F.lit(after)).alias("prompt"))
 
 
 def with_prompt(messages: DataFrame, template: str = PROMPT, legacy_prefix: str | None = None) -> DataFrame:
@@ -94,20 +96,17 @@ def cache_misses(prompts: DataFrame, cache: DataFrame) -> DataFrame:
     return out
 
 
-def pack_batches(
-    rows: DataFrame, key: str, size: int = V.BATCH_SIZE, buckets: int | None = None, rows_per_bucket: int = 20_000
-) -> DataFrame:
-    """Number rows into request batches of at most `size`: (bucket, batch).
+def pack_batches(rows: DataFrame, key: str, size: int = V.BATCH_SIZE, buckets: int | None = None) -> DataFrame:
+    """Number rows into request batches of `size`, in the order of their key; only the last one is short.
 
-    Rows spread over buckets by a hash of their unique key, and are numbered within a
-    bucket, so no task ever sorts more than its share.  At most one batch of a bucket is
-    short.  Unless told, there are as many buckets as keep each near `rows_per_bucket`.
+    Numbers are exact and no task sorts more than its range of keys (see `numbered`).  With
+    `buckets`, which needs no table written in between, rows spread over them by a hash of
+    their unique key and are numbered within: (bucket, batch), one short batch a bucket.
     """
     from pyspark.sql import Window
 
     if buckets is None:
-        buckets = max(1, -(-rows.count() // rows_per_bucket))
-
+        return numbered(rows, key, into="_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 6), 16, 10).cast("bigint")
     out = rows.withColumn("bucket", F.pmod(digest, F.lit(buckets)))
     order = Window.partitionBy("bucket").orderBy(key)
@@ -119,11 +118,14 @@ def predict(
     model: Callable[[pd.DataFrame], pd.DataFrame],
     size: int = V.BATCH_SIZE,
     parallelism: int | None = None,
+    failures: Accumulator | None = None,
 ) -> DataFrame:
     """Ask the model about each distinct prompt; returns (prompt_key, category, confidence, why).
 
     Copies of one prompt are dropped before the shuffle that spreads the work, so a text
-    sent a million times is asked once.  `parallelism` bounds concurrent callers.
+    sent a million times is asked once.  `parallelism` bounds concurrent callers.  A call
+    that fails answers nothing, so its messages keep the default; `failures`, an accumulator,
+    counts the prompts of such calls.
     """
     asked = pending.select("prompt_key", "prompt").dropDuplicates(["prompt_key"])
     if parallelism:
@@ -133,7 +135,12 @@ def predict(
         for pdf in batches:
             for start in range(0, len(pdf), size):
                 chunk = pdf.iloc[start : start + size]
-                got = model(chunk)
+                try:
+                    got = model(chunk)
+                except Exception:  # the default stands
+                    if failures is not None:
+                        failures.add(len(chunk))
+                    continue
                 yield got.reindex(columns=["prompt_key", "category", "confidence", "why"]).astype(
                     {"prompt_key": str}
                 )

@@ -140,12 +140,30 @@ RULE_CASE = "CASE " + " ".join(
 @query("rules_as_table", f"SELECT page_id, {RULE_CASE} AS rule FROM (SELECT page_id, upper(replace(trim(regexp_replace(html, '\\s+', ' ', 'g')), 'ß', 'ss')) AS b FROM pages)")
 def rules_as_table(spark, sf):
     pages = read(spark, sf, "pages").select("page_id", T.canonical("html").alias("canonical_body"))
-    hit = C.match_rules_table(pages, C.rules_table(spark), key="page_id")
+    hit = C.match_rules_table(pages, C.rules_table(spark))
     return hit.select("page_id", F.concat_ws(":", "rule.category", "rule.evidence").alias("rule")).withColumn(
         "rule", F.nullif("rule", F.lit(""))
     )
 
 
+@query(
+    "rules_long_list",
+    f"""WITH b AS (SELECT conv_id, turn, {CANON.replace("text", "coalesce(text, '')")} AS body FROM conversations),
+    r AS (SELECT CAST((conv_id * 7919 + turn * 31 + o) % 1000003 AS INT) AS priority, substr(body, o, 20) AS phrase FROM b, (SELECT unnest([1, 21, 41, 61, 81]) AS o) WHERE length(body) >= o
+      UNION ALL SELECT 2000000, 'Q'),
+    m AS (SELECT conv_id, turn, arg_min(phrase, (priority, phrase)) AS phrase FROM b JOIN r ON contains(body, phrase) GROUP BY conv_id, turn)
+    SELECT conv_id, turn, coalesce(phrase, '') AS phrase FROM b LEFT JOIN m USING (conv_id, turn)""",
+)
+def rules_long_list(spark, sf):
+    """Five phrases of every text as rules, and one of a single letter, met in every text."""
+    texts = read(spark, sf, "conversations").select("conv_id", "turn", T.canonical(F.coalesce("text", F.lit(""))).alias("canonical_body"))
+    places = texts.withColumn("o", F.explode(F.array(*map(F.lit, (1, 21, 41, 61, 81))))).filter(F.length("canonical_body") >= F.col("o"))
+    rule = lambda priority, phrase: (priority.cast("int").alias("priority"), F.lit("SPAM").alias("category"), phrase.alias("phrase"), F.lit(0.9).alias("confidence"))
+    rules = places.select(*rule((F.col("conv_id") * 7919 + F.col("turn") * 31 + F.col("o")) % 1000003, F.substring("canonical_body", F.col("o"), F.lit(20))))
+    rules = rules.unionByName(spark.range(1).select(*rule(F.lit(2000000), F.lit("Q"))))
+    return C.match_rules_table(texts, rules).select("conv_id", "turn", F.coalesce("rule.evidence", F.lit("")).alias("phrase"))
+
+
 @query(
     "sender_domain",
     "SELECT user_id, event_type, count(*) AS n FROM (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'GENERAL' ELSE 'SPAM' END AS event_type FROM events) GROUP BY ALL",
@@ -207,12 +225,17 @@ def cache_miss(spark, sf):
     return P.cache_misses(P.with_prompt(talk(spark, sf), legacy_prefix="m1"), cache_table(spark, sf)).select("conv_id", "turn")
 
 
+@query("batch_pack", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 15 AS BIGINT) AS batch FROM documents")
+def batch_pack(spark, sf):
+    return P.pack_batches(read(spark, sf, "documents").select("doc_id"), "doc_id")
+
+
 @query(
-    "batch_pack",
+    "batch_pack_buckets",
     """SELECT doc_id, bucket, CAST((row_number() OVER (PARTITION BY bucket ORDER BY doc_id) - 1) // 15 AS BIGINT) AS batch
     FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6) AS BIGINT) % 64 AS bucket FROM documents)""",
 )
-def batch_pack(spark, sf):
+def batch_pack_buckets(spark, sf):
     return P.pack_batches(read(spark, sf, "documents").select("doc_id"), "doc_id", buckets=64)
 
 
@@ -480,14 +503,14 @@ def reconcile_keys(spark, sf):
 
 @query(
     "batch_prompts",
-    """WITH m AS (SELECT conv_id * 1000 + turn AS id, role, coalesce(text, '') AS text FROM conversations), b AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 15 AS batch FROM m)
+    r"""WITH m AS (SELECT conv_id * 1000 + turn AS id, role, coalesce(text, '') AS text FROM conversations), b AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 15 AS batch FROM m)
     SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, sha256('ASK' || chr(10) || string_agg('--- id: ' || id || chr(10) || 'FROM: ' || role || chr(10) || 'SUBJECT: ' || chr(10) || 'BODY: '
       || substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 700), chr(10) || chr(10) ORDER BY id)) AS prompt FROM b GROUP BY batch""",
 )
 def batch_prompts(spark, sf):
     talk_rows = read(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("email_id"), F.col("role").alias("from"), F.lit(None).cast("string").alias("subject"), F.col("text").alias("body"))
-    p = P.batch_prompts(talk_rows, template="ASK\n{emails}", rows_per_bucket=10**9)
+    p = P.batch_prompts(talk_rows, template="ASK\n{emails}")
     return p.select("batch", F.size("ids").cast("bigint").alias("n"), F.sha2("prompt", 256).alias("prompt"))
 
 
