@@ -310,6 +310,15 @@ def _candidates(raw: Column, folded: Column, labels: dict[str, list[str]]) -> Co
         ),
     )
 
+    return _forms(raw, folded, _read(hits, lambda h: F.element_at(lookup, h["stem"])))
+
+
+def _read(hits: Column, entries) -> Column:
+    """Each line with each of its entries that it starts with, and what the forms capture after the label.
+
+    `hits` are structs with i, text, upper, and total, the length of a TOTAL before the label.
+    """
+
     def with_rest(h, x):
         direct = F.startswith(h["upper"], x["upper"])
         start = F.when(direct, 1).otherwise(h["total"] + 1) + F.length(x["upper"])
@@ -327,16 +336,8 @@ def _candidates(raw: Column, folded: Column, labels: dict[str, list[str]]) -> Co
         after_total = F.substring(h["upper"], h["total"] + 1, F.length(h["upper"]))
         return direct | ((h["total"] > 0) & F.startswith(after_total, x["upper"]))
 
-    named = F.flatten(
-        F.transform(
-            hits,
-            lambda h: F.transform(
-                F.filter(F.element_at(lookup, h["stem"]), lambda x: starts(h, x)),
-                lambda x: with_rest(h, x),
-            ),
-        )
-    )
-    read = F.transform(
+    named = F.flatten(F.transform(hits, lambda h: F.transform(F.filter(entries(h), lambda x: starts(h, x)), lambda x: with_rest(h, x))))
+    return F.transform(
         named,
         lambda n: F.struct(
             n.alias("n"),
@@ -345,6 +346,11 @@ def _candidates(raw: Column, folded: Column, labels: dict[str, list[str]]) -> Co
         ),
     )
 
+
+def _forms(raw: Column, folded: Column, read: Column) -> Column:
+    """The candidates that lines with a label offer."""
+    space = F.lit(V.ASCII_SPACE)
+
     def candidate(n, form, at, text, snippet_of):
         return F.struct(
             n["f"].alias("f"),
@@ -462,6 +468,13 @@ def extract_fields(
 
     step = step.withColumn("_found", F.when(doubtful, _candidates(F.col("_raw"), F.col("_folded"), labels)))
     step = step.withColumn("_valid", _contest(F.col("_found"), normalizers)).drop("_found")
+    return step.withColumn(into, _settled(quick)).drop("_raw", "_folded", "_lead", "_valid")
+
+
+def _settled(quick: Column | None = None) -> Column:
+    """The fields of a document: the least of its valid candidates by field, else the quick ones."""
+    names = F.expr(_sql(list(V.FIELDS)))
+
     def winner(f):
         return F.array_min(F.filter("_valid", lambda v: v["c"]["f"] == f))
 
@@ -471,7 +484,7 @@ def extract_fields(
     done = F.when(F.col("_raw").isNull(), none).when(F.col("_valid").isNotNull(), thorough)
     if quick is not None:
         done = done.otherwise(quick)
-    return step.withColumn(into, computed_once(done)).drop("_raw", "_folded", "_lead", "_valid")
+    return computed_once(done)
 
 
 def _ordered_by_length(labels: dict[str, list[str]]) -> bool:

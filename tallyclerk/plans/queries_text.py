@@ -15,6 +15,7 @@ from tallyclerk.operators import reconcile as RC
 from tallyclerk.operators import report as R
 from tallyclerk.operators import reviews as W
 from tallyclerk.operators.extract import extract_fields
+from tallyclerk.operators.learned import extract_fields_learned
 from tallyclerk.plans.registry import query
 from tallyclerk.sources.store import current, latest
 
@@ -467,9 +468,9 @@ def learned_extract(spark, sf):
     n = F.col("event_id")
     fields = F.array_compact(F.array(
         F.when((n % 2 == 0) | (n % 10 == 5), F.lit("shipper")), F.when((n % 2 == 1) | (n % 10 == 0), F.lit("consignee"))))
-    labels = D.learned_labels(e.select(F.explode(fields).alias("field"), "label_seen"))
+    learned = e.select(F.explode(fields).alias("field"), "label_seen")
     docs = e.select("event_id", F.concat(F.lit("BILL OF LADING\n"), "label_seen", F.lit(": Acme "), n.cast("string")).alias("text"))
-    rows = extract_fields(docs, labels=labels).select("event_id", F.explode(F.slice("fields", 1, 2)).alias("f"))
+    rows = extract_fields_learned(docs, learned, "event_id").select("event_id", F.explode(F.slice("fields", 1, 2)).alias("f"))
     return rows.select("event_id", "f.field", "f.value", "f.label_seen")
 
 
