@@ -6,8 +6,9 @@ forms, adverts, comments and the like - are out with all they hold. A form, or a
 name speaks against, is a wrapper and not out if it holds the only article or main element with text, or, in
 a page without one, more than half of the text when next to none is left outside. Each remaining block of text
 gives points for its length and its commas, less the share of its text in links, to its parent in
-full and to further ancestors less. The container with the most points, less its own link
-share, is kept - widened to the article or main element around it - and with it those siblings of its kind that also score.
+full and to LEVELS further containers less. A name speaks against running text only if it says nothing else,
+and a fieldset is out only if it holds a control. Parsing and scoring are linear in the page. The container with the most points, less its own link
+share, is kept - widened to the article or main element around it - and with it those siblings of its kind that also score or have its class.
 
 Pages are independent rows: one pass in Arrow batches, no shuffle.
 
@@ -19,6 +20,7 @@ Columns other than page_id, url, html are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,7 +40,7 @@ ENDED_BY = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "
 ENDED_BY = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDED_BY.items()}
 SCOPES = frozenset("td th caption button html body object template".split())
 OUT_TAGS = frozenset(
-    "head title script style noscript template nav footer aside form button select option textarea iframe svg canvas object audio video map dialog menu fieldset label datalist search".split())
+    "head title script style noscript template nav footer aside form button select option textarea iframe svg canvas object audio video map dialog menu label datalist search".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners"
@@ -48,6 +50,12 @@ OUT_NAMES = frozenset(
     " cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall disclaimer"
     " share sharing social subscribe subscription newsletter signup login form search hidden".split())
 KEEP_TAGS = frozenset("html body article main".split())
+#: Elements of running text: a name speaks against them only if nothing in it says otherwise.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figure figcaption caption".split())
+#: What makes a fieldset part of a form.
+CONTROLS = frozenset("input select textarea button".split())
+#: Containers above a block of text that get points from it.
+LEVELS = 8
 #: What can hold an article; lists, tables and quotes only pass points on.
 CONTAINERS = frozenset("div section article main body #page".split())
 GOOD_NAMES = frozenset("article content entry post story text main body page".split())
@@ -59,6 +67,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|\d+")
+CLASS_OR_ID = re.compile(r"(?:class|id)\s*=\s*[\"']?([^\"'>]*)", re.I)
+CLASS = re.compile(r"class\s*=\s*[\"']?([^\"'>]*)", re.I)
 
 
 #: What speaks against an element: nothing, its name or being a form, or anything else.
@@ -86,6 +96,8 @@ def is_out(tag: str, attributes: str, in_article: bool) -> int:
             named += value.split()
     for name in named:
         parts = [p.lower() for p in NAME.findall(name)]
+        if tag in PROSE and not all(p in OUT_NAMES or p.isdigit() for p in parts):
+            continue
         for i, part in enumerate(parts):
             if part in OUT_NAMES and not (i and parts[i - 1] in ("no", "has", "with", "without")):
                 return DOUBTFUL
@@ -96,7 +108,11 @@ class Page:
     """Elements in page order (parents first) and the texts and breaks between them."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.judged, self.article, self.good = ["#page"], [-1], [FINE], [False], [False]
+        self.tag, self.parent, self.judged, self.article, self.good, self.names = ["#page"], [-1], [FINE], [False], [False], [""]
+        # Places in the stack of what is open, by tag and of all blocks: no search walks the stack.
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.boxes: set[int] = set()  # fieldsets without a control so far
         self.pieces: list[tuple[int, str | None]] = []
         stack = [0]
         for m in TOKEN.finditer(html):
@@ -111,51 +127,61 @@ class Page:
                 self._end(stack, name)
             else:
                 self._start(stack, name, m[4] if m[3] else m[7])
+        for i in self.boxes:
+            self.judged[i] = FINE
         self._leave_out()
 
+    def _last(self, tags: frozenset[str]) -> int:
+        """The highest place in the stack of any of the tags; 0 if none is open."""
+        return max((at[-1] for tag in tags if (at := self.where.get(tag))), default=0)
+
     def _cut(self, stack: list[int], to: int) -> None:
         """Close the elements of the stack from place `to` on."""
         if any(self.tag[i] not in INLINE for i in stack[to:]):
             self.pieces.append((stack[to - 1], None))
+        for i in stack[to:]:
+            self.where[self.tag[i]].pop()
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
         del stack[to:]
 
     def _start(self, stack: list[int], name: str, attributes: str) -> None:
-        if name in ENDS_PARAGRAPH:
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] == "p":
-                    self._cut(stack, k)
-                    break
-                if self.tag[stack[k]] in SCOPES:
-                    break
+        if name in ENDS_PARAGRAPH and (at := self.where.get("p")) and at[-1] > self._last(SCOPES):
+            self._cut(stack, at[-1])
         if name in ENDED_BY:
             ended, scope = ENDED_BY[name]
-            k = next((k for k in range(len(stack) - 1, 0, -1) if self.tag[stack[k]] in scope), 0)
-            first = next((k for k in range(k + 1, len(stack)) if self.tag[stack[k]] in ended), 0)
+            k = self._last(scope)
+            first = min((at[n] for tag in ended if (at := self.where.get(tag)) and (n := bisect_right(at, k)) < len(at)), default=0)
             if first:
                 self._cut(stack, first)
         top = stack[-1]
         if name not in INLINE:
             self.pieces.append((top, None))
+        if name in CONTROLS and (at := self.where.get("fieldset")):
+            self.boxes.discard(stack[at[-1]])
         if name in VOID:
             return
         self.parent.append(top)
         self.tag.append(name)
-        self.judged.append(is_out(name, attributes, self.article[top]))
+        self.judged.append(DOUBTFUL if name == "fieldset" else is_out(name, attributes, self.article[top]))
         self.article.append(self.article[top] or name in ("article", "main"))
-        self.good.append(bool(attributes) and any(p.lower() in GOOD_NAMES for m in re.finditer(r"(?:class|id)\s*=\s*[\"']?([^\"'>]*)", attributes, re.I) for p in NAME.findall(m[1])))
+        named = [m[1] for m in CLASS_OR_ID.finditer(attributes)] if attributes else []
+        self.good.append(any(p.lower() in GOOD_NAMES for n in named for p in NAME.findall(n)))
+        self.names.append(m[1].strip() if attributes and (m := CLASS.search(attributes)) else "")
+        new = len(self.tag) - 1
+        if name == "fieldset":
+            self.boxes.add(new)
         if not attributes.rstrip().endswith("/") or name in INLINE or name in ENDS_PARAGRAPH:
-            stack.append(len(self.tag) - 1)
+            self.where.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                self.blocks.append(len(stack))
+            stack.append(new)
 
     def _end(self, stack: list[int], name: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[k]]
-            if tag == name:
-                self._cut(stack, k)
-                return
-            if name in INLINE and tag not in INLINE:
-                return
-            if name == "p" and tag in SCOPES:
-                return
+        at = self.where.get(name)
+        if not at or name in INLINE and self.blocks and self.blocks[-1] > at[-1] or name == "p" and self._last(SCOPES) > at[-1]:
+            return
+        self._cut(stack, at[-1])
 
     def _leave_out(self) -> None:
         """What is out, with all it holds; wrappers of the article are not."""
@@ -208,15 +234,17 @@ class Page:
         for i in range(n - 1, 0, -1):
             total[self.parent[i]] += total[i]
             total_links[self.parent[i]] += total_links[i]
+        near = [-1] * n  # the container that an element is or is in
+        for i in range(n):
+            near[i] = i if self.tag[i] in CONTAINERS or self.tag[i] == "td" else near[self.parent[i]] if i else -1
         for i in range(n):
             if length[i]:
                 points = (1 + commas[i] + min(3, length[i] / 100)) * (1 - links[i] / length[i])
-                at, far = (i if self.tag[i] in CONTAINERS else self.parent[i]), 0
-                while at >= 0 and points:
-                    if self.tag[at] in CONTAINERS or self.tag[at] == "td":
-                        score[at] += points / (1 if not far else 2 if far == 1 else 3 * far)
-                        far += 1
-                    at = self.parent[at]
+                at, far = near[i if self.tag[i] in CONTAINERS else self.parent[i]] if i or self.tag[i] in CONTAINERS else -1, 0
+                while at >= 0 and points and far < LEVELS:
+                    score[at] += points / (1 if not far else 2 if far == 1 else 3 * far)
+                    far += 1
+                    at = near[self.parent[at]] if at else -1
         for i in range(n):
             score[i] *= (1 - total_links[i] / total[i] if total[i] else 0) * (1.5 if self.tag[i] in ("article", "main") else 1.25 if self.good[i] else 1)
         usable = [i for i in range(n) if not self.out[i] and self.tag[i] not in INLINE and total[i]]
@@ -232,7 +260,9 @@ class Page:
         kept = [False] * n
         for i in usable:
             beside = self.parent[i] == self.parent[best] and best > 0
-            if i == best or beside and (self.tag[i] == self.tag[best] and score[i] >= 0.2 * score[best] or self.tag[i] == "p" and length[i] > 80 and links[i] < 0.25 * length[i]):
+            alike = self.tag[i] == self.tag[best]
+            same = alike and self.names[i] and self.names[i] == self.names[best] and total_links[i] < 0.25 * total[i]
+            if i == best or beside and (same or alike and score[i] >= 0.2 * score[best] or self.tag[i] == "p" and length[i] > 80 and links[i] < 0.25 * length[i]):
                 kept[i] = True
         for i in range(1, n):
             kept[i] = kept[i] or kept[self.parent[i]]
