@@ -136,7 +136,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-@query("op11_conversation_repair")
+# An insert never pays: taking out the row beside it costs less. So the SQL has none.
+@query("op11_conversation_repair", r"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)),
+      lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'fine' END AS fault FROM n),
+p AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '' AS state, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST(NULL AS VARCHAR)} AS best FROM f
+  UNION ALL
+  SELECT conv_id, i, state, min(best) AS best FROM (
+    SELECT p.conv_id, f.i, CASE e.what WHEN 'D' THEN p.state WHEN 'K' THEN f.r WHEN 'R' THEN CASE p.state WHEN 'u' THEN 'a' ELSE 'u' END END AS state,
+      {'cost': p.best.cost + CASE e.what WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e.what <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END,
+       'audit': p.best.audit || e.what,
+       'lines': CASE WHEN e.what = 'D' THEN p.best.lines ELSE concat_ws(chr(10), p.best.lines, CASE e.what WHEN 'K' THEN f.role ELSE CASE p.state WHEN 'u' THEN 'assistant' ELSE 'user' END END || ':' || f.text) END} AS best
+    FROM p JOIN f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = p.i + 1, (VALUES ('D'), ('K'), ('R')) e(what)
+    WHERE e.what = 'D' OR f.fault IN ('fine', 'truncated') AND (e.what = 'R' OR p.state || f.r IN ('s', 'u', 'su', 'ua', 'au')))
+  GROUP BY conv_id, i, state),
+w AS (SELECT conv_id, min(best) AS best FROM p WHERE state IN ('', 'a') AND (conv_id, i) IN (SELECT (conv_id, max(i)) FROM f GROUP BY conv_id) GROUP BY conv_id),
+c AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f) GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM o.conv_id""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     found, rows = conversation_repair.repair(conversation_repair.damage(conversations))
