@@ -4,12 +4,19 @@ An upsert appends a partition named by its writer and batch; readers keep the ne
 per key.  Nothing stored is rewritten while it may be read, and a repeated batch overwrites
 its own partition only, so lost executors and restarted streams leave one copy of each
 batch, and two writers never meet.
+
+The order of batches is kept beside the data, in a log of empty files: a writer takes the
+next version by creating a file of that name and then notes which version its batch has.
+So an upsert reads no data, however much is stored. Where the file system creates files
+exclusively, as HDFS does, no two writers get one version; elsewhere two that start at the
+same moment may, and then the writer's name decides which is newer, for every reader alike.
 """
 
 from __future__ import annotations
 
 import hashlib
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,15 +68,51 @@ class ResultStore:
     def __init__(self, spark: SparkSession, path: str, key: str = "email_id"):
         self.spark, self.path, self.key = spark, path, key
 
+    def _log(self, *names: str):
+        """(file system, path) of a part of the log; Spark does not read folders of such a name."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, "_log", *names)))
+        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
+
+    def _names(self, *names: str) -> list[str]:
+        fs, at = self._log(*names)
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _create(self, *names: str) -> bool:
+        """Make an empty file; False if it is there already, also if another writer was faster."""
+        fs, at = self._log(*names)
+        try:
+            return fs.createNewFile(at)
+        except Py4JJavaError:
+            if fs.exists(at):
+                return False
+            raise
+
+    def _begin_log(self) -> None:
+        """Log of what was stored before there was one."""
+        if self._names("versions"):
+            return
+        try:
+            marks = self.changes().select(*MARKS).distinct().collect()  # a row per batch
+        except AnalysisException as nothing:
+            # Anything else, such as tables that do not fit together, is not an empty store.
+            if nothing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            marks = []
+        for m in marks:
+            self._create("batches", f"{m.writer}", f"{m.batch}", str(m.version))
+            self._create("versions", str(m.version))
+
     def _version(self, writer: str, batch: int) -> int:
         """The batch's own version if it was written before, else the next one."""
-        try:
-            marks = self.changes().select(*MARKS)
-        except AnalysisException:  # nothing stored yet
-            return 1
-        mine = F.when((F.col("writer") == writer) & (F.col("batch") == batch), F.col("version"))
-        found = marks.agg(F.max(mine).alias("mine"), F.max("version").alias("top")).first()
-        return found.mine if found.mine is not None else (found.top or 0) + 1
+        self._begin_log()
+        mine = self._names("batches", writer, str(batch))
+        if mine:
+            return int(max(mine, key=int))
+        version = max(map(int, self._names("versions")), default=0) + 1
+        while not self._create("versions", str(version)):
+            version += 1
+        self._create("batches", writer, str(batch), str(version))
+        return version
 
     def upsert(self, rows: DataFrame, batch: int, writer: str = "main", order: list[str] | None = None) -> None:
         """Write a batch.  Rows of later batches win; a batch written again replaces itself.
@@ -101,3 +144,4 @@ class ResultStore:
         """Snapshot: drop everything stored, then write.  `rows` must not read this table."""
         marked = rows.withColumns({"version": F.lit(1).cast("bigint"), "writer": F.lit("snapshot"), "batch": F.lit(0)})
         marked.write.mode("overwrite").partitionBy("writer", "batch").parquet(self.path)
+        self._begin_log()

@@ -5,6 +5,7 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from test_files import WANT, bundle, statuses
 
@@ -72,6 +73,34 @@ def test_store_keeps_what_it_has(spark, tmp_path):
     assert statuses(fresh.read()) == {"a": "3", "b": "9", "c": "1", "x": "9"}
 
 
+def test_store_log(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = lambda *r: spark.createDataFrame(list(r), "email_id string, status string")
+    store = ST.ResultStore(spark, str(tmp_path / "a"))
+    store.upsert(rows(("a", "0")), 0)
+    with monkeypatch.context() as m:  # an upsert reads no data
+        m.setattr(ST.ResultStore, "changes", lambda self: 1 / 0)
+        store.upsert(rows(("a", "1"), ("b", "1")), 1)
+        store.upsert(rows(("a", "0")), 0)  # repeated, so it stays behind
+        # Writers at once take versions of their own.
+        with ThreadPoolExecutor(6) as pool:
+            list(pool.map(lambda i: store.upsert(rows((f"w{i}", "x"), ("last", str(i))), 7, f"writer{i}"), range(6)))
+    stored = store.changes().select("writer", "batch", "version").distinct().collect()
+    assert len(stored) == 8 and [r.version for r in stored if r.writer == "main" and r.batch == 0] == [1]
+    newest = max((r.version, r.writer) for r in stored)[1]
+    assert {r.email_id: r.status for r in store.read().collect()} == {"a": "1", "b": "1", **{f"w{i}": "x" for i in range(6)}, "last": newest[-1]}
+    # A store from before there was a log gets one; one that cannot be read is not taken for an empty one.
+    old = ST.ResultStore(spark, str(tmp_path / "old"))
+    rows(("a", "5")).withColumn("version", F.lit(9).cast("bigint")).write.parquet(f"{tmp_path}/old/writer=main/batch=3")
+    old.upsert(rows(("a", "6")), 4)
+    assert [r.status for r in old.read().collect()] == ["6"]
+    odd = ST.ResultStore(spark, str(tmp_path / "odd"))
+    spark.range(3).write.parquet(f"{tmp_path}/odd/writer=main/batch=1")
+    with pytest.raises(AnalysisException):
+        odd.upsert(rows(("a", "1")), 2)
+
+
 def test_rules_as_a_long_table(spark, monkeypatch):
     phrases = [(i, "C", f"WORD {i} END", 0.5) for i in range(300)] + [(400, "D", "W", 0.1), (401, "D", "", 0.1), (402, "D", None, 0.1)]
     rules = spark.createDataFrame(phrases, "priority int, category string, phrase string, confidence double")
