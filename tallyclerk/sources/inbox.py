@@ -7,6 +7,8 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyclerk.sources.keyed import read_keyed
+
 MESSAGE_SCHEMA = (
     "email_id string, `from` string, subject string, body string, attachments array<string>"
 )
@@ -24,10 +26,10 @@ def read_messages(spark: SparkSession, root: str, pattern: str = "email_*.json")
 def read_attachments(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of every file under <root>/attachments; path is relative to root."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/attachments")
-    return raw.select(_relative(F.col("path"), root).alias("path"), "content")
+    return raw.select(relative(F.col("path"), root).alias("path"), "content")
 
 
-def _relative(path, root: str):
+def relative(path, root: str):
     """What follows the first place where the whole root stands; file names are taken as they are."""
     below = "/" + posixpath.normpath(root.partition("://")[2] or root.removeprefix("file:")).strip("/") + "/"
     return F.substring(path, F.locate(below, path) + len(below), F.length(path))
@@ -42,14 +44,8 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object keyed by id (truth or submission file) as rows.
-
-    Such a file is one value, so one task parses it; large sets belong in a row format,
-    which `spark.read` takes directly.
-    """
-    text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", f"map<string,struct<{RECORD_SCHEMA.replace(' string', ':string').replace(' boolean', ':boolean').replace(' array', ':array')}>>")
-    return text.select(F.explode(parsed).alias("email_id", "r")).select("email_id", "r.*")
+    """A JSON object keyed by id (truth or submission file) as rows, read by byte ranges."""
+    return read_keyed(spark, path, RECORD_SCHEMA, "email_id")
 
 
 def write_submission(results: DataFrame, path: str) -> None:
