@@ -22,8 +22,9 @@ def ingest(
     readers: dict[str, Reader] | None = None,
     path: str = "path",
     content: str = "content",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(path, content) to (path, text, method, readable, warnings).
+    """(path, content) to (path, text, method, readable, warnings) and the columns `keep`.
 
     Text attachments are decoded in the JVM.  `readers` maps an extension to a function
     bytes -> (text, readable, warnings) for binary formats; it runs in Arrow batches and
@@ -47,6 +48,7 @@ def ingest(
     missing = body.isNull() | (F.length(body) == 0)
     out = base.select(
         F.col(path).alias("path"),
+        *keep,
         text.alias("text"),
         F.when(missing, "text").otherwise(F.col("method")).alias("method"),
         F.array_compact(F.array(warning)).alias("warnings"),
@@ -57,6 +59,7 @@ def ingest(
         read = F.col("_read")
         out = out.select(
             "path",
+            *keep,
             F.coalesce(read["text"], F.col("text")).alias("text"),
             "method",
             F.concat(F.col("warnings"), F.coalesce(read["warnings"], F.array().cast("array<string>"))).alias("warnings"),
@@ -104,8 +107,9 @@ def extract_documents(
     exact_unicode: bool = True,
     recovered: bool = False,
     normalizers: dict | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(path, text, method, readable, warnings) to one extracted document per row.
+    """(path, text, method, readable, warnings) to one extracted document per row, with the columns `keep`.
 
     Every field says which `file` it was looked for in.
 
@@ -135,6 +139,7 @@ def extract_documents(
         "readable",
         "fields",
         warned.alias("warnings"),
+        *keep,
     )
 
 

@@ -1,8 +1,8 @@
 """Human review: validating, logging and applying decisions.
 
 The log is append-only.  Its effect on a record is a fold that needs only flags and the
-last correction per field, so it is aggregated before it is shuffled and a record with
-very many reviews never gathers them in one place.
+last correction per field, so it is aggregated before it is shuffled.  The notes of a record
+are an array of it; where a record may have very many, they can stay rows (`review_notes`).
 """
 
 from __future__ import annotations
@@ -37,50 +37,41 @@ def corrections(log: DataFrame) -> DataFrame:
     )
 
 
-def _fold(log: DataFrame) -> DataFrame:
-    """Per record: number of reviews, last one, and corrected values by field name."""
-    latest = (
-        log.withColumn("_field", F.when(F.col("action") == "correct", F.col("field")))
-        .groupBy("email_id", "_field")
-        .agg(
-            F.count("*").alias("n"),
-            F.max("id").alias("last_id"),
-            F.max_by("corrected_value", "id").alias("value"),
-        )
-    )
+def _fold(log: DataFrame, notes: bool) -> DataFrame:
+    """Per record: number of reviews, last one, corrected values by field name, and, if asked for, what
+    the notes need of each review."""
+    per_field = [F.count("*").alias("n"), F.max("id").alias("last_id"), F.max_by("corrected_value", "id").alias("value")]
+    per_record = [F.sum("n").alias("reviews"), F.max("last_id").alias("last_review")]
+    if notes:
+        per_field.append(F.collect_list(F.struct("id", "action", "field", "corrected_value")).alias("said"))
+        per_record.append(F.sort_array(F.flatten(F.collect_list("said"))).alias("_said"))
     # One row per record and field name is left, so this gathers names, not reviews.
-    entries = F.collect_list(
-        F.when(F.col("_field").isNotNull(), F.struct(F.col("_field"), F.col("value")))
-    )
-    return latest.groupBy("email_id").agg(
-        F.sum("n").alias("reviews"),
-        F.max("last_id").alias("last_review"),
-        F.map_from_entries(entries).alias("_corrections"),
-    )
+    entries = F.collect_list(F.when(F.col("_field").isNotNull(), F.struct("_field", "value")))
+    correct = F.when(F.col("action") == "correct", F.col("field"))
+    latest = log.withColumn("_field", correct).groupBy("email_id", "_field").agg(*per_field)
+    return latest.groupBy("email_id").agg(*per_record, F.map_from_entries(entries).alias("_corrections"))
 
 
-def apply_reviews(results: DataFrame, log: DataFrame, recompute: bool = False) -> DataFrame:
+def apply_reviews(results: DataFrame, log: DataFrame, recompute: bool = False, notes: bool = True) -> DataFrame:
     """Results after the (valid) review log.
 
     Any review settles a record: status OK, no reason.  A correction is put on the
     comparison of its field, or into `human_corrections` where the record has no such
     comparison.  Verdicts, `has_defect` and `defect_fields` stay as they were checked,
     unless `recompute` clears the two for settled records.  Each review adds its note to
-    `notes`, in the order of the ids; the notes are part of the record.
+    `notes`, in the order of the ids; the notes are part of the record, so the most reviewed
+    record bounds a task.  Without `notes` only flags and last values of the log travel, however
+    often a record was reviewed; `review_notes` then has the notes as rows.
+
+    The results are read once.
     """
-    notes = (
-        review_notes(results, log)
-        .groupBy("email_id")
-        .agg(F.sort_array(F.collect_list(F.struct("id", "note"))).alias("_said"))
-    )
-    step = results.join(_fold(log), "email_id", "left").join(notes, "email_id", "left")
-    step = step.withColumn(
-        "notes",
-        F.when(F.col("_said").isNull(), F.col("notes")).otherwise(F.concat("notes", F.transform("_said", lambda n: n["note"]))),
-    ).drop("_said")
+    step = results.join(_fold(log, notes), "email_id", "left")
     fixes = F.coalesce(F.col("_corrections"), F.create_map().cast("map<string,string>"))
     settled = F.col("reviews").isNotNull()
     has = F.transform("comparisons", lambda c: c["field"])
+    if notes:
+        told = F.transform("_said", lambda r: note_text(r["action"], r["field"], r["corrected_value"], F.array_contains(has, r["field"])))
+        step = step.withColumn("notes", F.when(settled, F.concat("notes", told)).otherwise(F.col("notes"))).drop("_said")
     marked = F.transform(
         "comparisons",
         lambda c: c.withField("human_correction", fixes[c["field"]]).withField(

@@ -144,6 +144,17 @@ def route(paired: DataFrame) -> DataFrame:
     )
 
 
+def classified(messages: DataFrame, rules=None, *keep: str) -> DataFrame:
+    """What pairing and routing need of `messages`, with the columns `keep` beside it."""
+    asks = C.attachments_missing("canonical_body", "attachments").alias("asks_comparison")
+    return C.classify(messages, rules=rules).select("email_id", "classification", "attachments", asks, *keep)
+
+
+def wants_documents() -> Column:
+    """Whether a classified message is to be compared by its documents."""
+    return (F.col("classification")["category"] == V.COMPARISON_CATEGORY) & (C.attachment_count("attachments") >= 2)
+
+
 def check_messages(
     messages: DataFrame,
     documents: DataFrame,
@@ -155,13 +166,7 @@ def check_messages(
     `answers` (email_id, category, confidence), unique by email_id, settles messages no
     rule could.
     """
-    step = C.classify(messages, rules=rules)
-    step = step.select(
-        "email_id",
-        "classification",
-        "attachments",
-        C.attachments_missing("canonical_body", "attachments").alias("asks_comparison"),
-    )
+    step = classified(messages, rules)
     if answers is not None:
         told = answers.select(
             "email_id", F.col("category").alias("_category"), F.col("confidence").alias("_confidence")
@@ -169,10 +174,7 @@ def check_messages(
         step = step.join(told, "email_id", "left")
         step = C.apply_model(step, F.col("_category"), F.col("_confidence"))
         step = step.drop("_category", "_confidence")
-    wanted = (F.col("classification")["category"] == V.COMPARISON_CATEGORY) & (
-        C.attachment_count("attachments") >= 2
-    )
-    return route(pair_documents(step, documents, wanted))
+    return route(pair_documents(step, documents, wants_documents()))
 
 
 def check_inbox(
