@@ -14,6 +14,7 @@ from tallyclerk.operators import predict as P
 from tallyclerk.operators import reconcile as RC
 from tallyclerk.operators import report as R
 from tallyclerk.operators import reviews as W
+from tallyclerk.operators import snapshots as SN
 from tallyclerk.operators.extract import extract_fields
 from tallyclerk.operators.learned import extract_fields_learned
 from tallyclerk.plans.registry import query
@@ -552,3 +553,22 @@ def alias_union(spark, sf):
     log = review_events(spark, sf).filter("action = 'correct' AND field <> 'vessel'")
     seen = log.select("field", F.concat(F.lit("Label "), F.substring("email_id", 5, 30)).alias("label_seen"))
     return D.label_table(spark, seen)
+
+
+# ---- two versions of a table --------------------------------------------------------------
+@query(
+    "snapshot_diff",
+    """WITH b AS (SELECT o_orderkey, o_orderkey % 97 = 0 AS removed, o_orderkey % 31 = 0 AS price, o_orderkey % 43 = 0 AS status, o_orderkey % 89 = 0 AS added FROM orders)
+    SELECT o_orderkey, CASE WHEN removed THEN 'removed' ELSE 'changed' END AS change, CAST(1 AS BIGINT) AS n_before, CAST(NOT removed AS BIGINT) AS n_after,
+    CASE WHEN removed THEN '' ELSE concat_ws(',', CASE WHEN status THEN 'o_orderstatus' END, CASE WHEN price THEN 'o_totalprice' END) END AS differing
+    FROM b WHERE removed OR price OR status
+    UNION ALL SELECT -o_orderkey, 'added', 0, 1, '' FROM b WHERE added AND NOT removed""",
+)
+def snapshot_diff(spark, sf):
+    before, key = read(spark, sf, "orders"), F.col("o_orderkey")
+    after = before.filter(key % 97 != 0)
+    added = after.filter(key % 89 == 0).withColumn("o_orderkey", -key)
+    after = after.withColumn("o_totalprice", F.when(key % 31 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast(before.schema["o_totalprice"].dataType))
+    after = after.withColumn("o_orderstatus", F.when(key % 43 == 0, F.lit("?")).otherwise(F.col("o_orderstatus")))
+    found = SN.diff(before, after.unionByName(added), ["o_orderkey"])
+    return found.withColumn("differing", F.concat_ws(",", "differing"))
