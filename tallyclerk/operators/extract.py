@@ -130,10 +130,10 @@ def computed_once(c: Column) -> Column:
 
     A predicate pushed through a projection takes a copy of the column's expression with
     it, and the work is done twice.  Nothing is pushed through an expression that is not
-    deterministic; the condition is always true.  Unlike a row id, a random number may stand
-    in a stream too.
+    deterministic; the condition is always true.  Unlike a row id, the number of the
+    partition may stand in a stream too.
     """
-    return F.when(F.rand(0) >= 0, c)
+    return F.when(F.spark_partition_id() >= 0, c)
 
 
 def doc_type(text: Column | str) -> Column:
