@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyclerk import vocab as V
+from tallyclerk.operators.numbering import checkpointed, numbered
+
+#: Copies of a row that are written out by one element of an array.
+_COPIES = 4096
 
 MATCH, MISMATCH, UNCERTAIN = "match", "mismatch", "uncertain"
 
@@ -110,6 +114,72 @@ def mismatched_fields(comparisons: Column) -> Column:
     return F.array_sort(F.transform(hit, lambda c: c["field"]))
 
 
+def pair_rows(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Which row of `left` stands against which of `right`, within equal keys, at the least cost.
+
+    Both tables hold `keys` and `values`, the latter in order of weight: a pair costs more the earlier its
+    first difference stands (F values that agree in the first d cost F - d, a NULL agrees with a NULL only).
+    Under this cost an assignment is cheapest if rows are paired inside the smallest group that holds both,
+    so equal rows cancel by their counts, and then the rest meets in groups of F - 1, F - 2, ... leading
+    values and at last of the key alone; inside a group rows pair in the order of their values, which keeps
+    near numbers together. Every key pairs as many rows as its smaller side has.
+
+    Returns one row per kind of pair: the keys, `<value>_a`, `<value>_b`, `in_a` and `in_b` (false where a
+    row found no partner) and `n`, how many pairs are alike. Keys must not be NULL.
+
+    Nothing is a window over a group and no group's pairs are listed: places come from exact row numbers,
+    and rows meet by group and place, so a key that holds most rows is spread over all tasks.
+    """
+    names = [f"_v{i}" for i in range(len(values))]
+
+    def side(df, a, b):
+        made = [F.col(v).alias(n) for v, n in zip(values, names)]
+        return df.select(*keys, *made, F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+
+    rows = side(left, 1, 0).union(side(right, 0, 1))
+    counted = checkpointed(rows.groupBy(*keys, *names).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")))
+
+    def shown(a, b, n):
+        made = [F.col(k) for k in keys]
+        for v, name in zip(values, names):
+            for tag, prefix in (("a", a), ("b", b)):
+                made.append((F.col(prefix + name) if prefix is not None else F.lit(None).cast(counted.schema[name].dataType)).alias(f"{v}_{tag}"))
+        return [*made, F.lit(a is not None).alias("in_a"), F.lit(b is not None).alias("in_b"), n.alias("n")]
+
+    both = F.least("_a", "_b")
+    out = [counted.filter(both > 0).select(*shown("", "", both))]
+    spare, block = F.abs(F.col("_a") - F.col("_b")), F.col("_block") * _COPIES
+    rest = (
+        counted.filter("_a <> _b")
+        .select(*keys, *names, (F.col("_a") < F.col("_b")).cast("int").alias("_side"), spare.alias("_spare"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_spare") - 1) / _COPIES))))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.least(F.lit(_COPIES - 1), F.col("_spare") - 1 - block))))
+        .select(*keys, *names, "_side")
+    )
+    for depth in reversed(range(len(names))):
+        placed = numbered(rest, "_side", *keys, *names, into="_n").withColumn("_group", F.struct(*keys, *names[:depth]))
+        starts = placed.groupBy("_side", "_group").agg(F.min("_n").alias("_start"))
+        placed = placed.join(starts, ["_side", "_group"]).withColumn("_at", F.col("_n") - F.col("_start"))
+
+        def half(number, prefix):
+            kept = [F.col(c).alias(prefix + c) for c in (*keys, *names)]
+            return placed.filter(F.col("_side") == number).select("_group", "_at", F.lit(True).alias(f"{prefix}_in"), *kept)
+
+        met = half(0, "a").join(half(1, "b"), ["_group", "_at"], "full_outer")
+        pairs = met.filter("a_in AND b_in").select(
+            *[F.col("a" + k).alias(k) for k in keys], *[F.col(p + n) for p in "ab" for n in names])
+        pairs = pairs.groupBy(*pairs.columns).count()
+        out.append(pairs.select(*shown("a", "b", F.col("count"))))
+        alone = met.filter("a_in IS NULL OR b_in IS NULL")
+        rest = alone.select(
+            *[F.when(F.col("a_in"), F.col("a" + c)).otherwise(F.col("b" + c)).alias(c) for c in (*keys, *names)],
+            F.when(F.col("a_in"), 0).otherwise(1).alias("_side"))
+    left_over = rest.groupBy(*keys, *names, "_side").count()
+    out.append(left_over.filter("_side = 0").select(*shown("", None, F.col("count"))))
+    out.append(left_over.filter("_side = 1").select(*shown(None, "", F.col("count"))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def reconcile(
     left: DataFrame,
     right: DataFrame,
@@ -118,6 +188,7 @@ def reconcile(
     normalizers: dict | None = None,
     tolerances: dict[str, float] | None = None,
     sides: tuple[str, str] = ("left", "right"),
+    pair_repeats: bool = False,
 ) -> DataFrame:
     """Reconcile two tables on `keys`, field by field.
 
@@ -127,6 +198,10 @@ def reconcile(
     no values of that side) and every row with a NULL in its key ('null_key', a row of its
     own): neither can be paired.  Each side has a row per key before the join, so no key is
     hot in it.
+
+    With `pair_repeats`, rows of a repeated key are paired at the least cost instead (`pair_rows`;
+    `fields` in order of weight), each pair has a verdict of its own, and a row without a partner comes
+    out like a key of one side.  Rows that are alike in keys, fields and outcome are one, counted in `n`.
     """
     normalizers, tolerances = normalizers or {}, tolerances or {}
     whole = F.lit(True)
@@ -143,7 +218,13 @@ def reconcile(
         return df.filter(whole).groupBy(*keys).agg(*only, (n > 1).alias(f"_many_{tag}"))
 
     a, b = side(left, "a"), side(right, "b")
-    both = per_key(a, "a").join(per_key(b, "b"), keys, "full_outer").withColumn("_null_key", F.lit(False))
+    if pair_repeats:
+        plain = [df.filter(whole).toDF(*keys, *fields) for df in (a, b)]
+        both = pair_rows(*plain, keys, fields).drop("in_a", "in_b").withColumns({"_many_a": F.lit(False), "_many_b": F.lit(False)})
+        a, b = (df.groupBy(*df.columns).agg(F.count("*").alias("n")) for df in (a.filter(~whole), b.filter(~whole)))
+    else:
+        both = per_key(a, "a").join(per_key(b, "b"), keys, "full_outer")
+    both = both.withColumn("_null_key", F.lit(False))
     for df in (a, b):
         both = both.unionByName(df.filter(~whole).withColumn("_null_key", F.lit(True)), allowMissingColumns=True)
     for f in fields:
@@ -165,4 +246,5 @@ def reconcile(
         *columns,
         F.when(odd.isNotNull(), "NEEDS_REVIEW").otherwise(F.col("_o.status")).alias("status"),
         F.coalesce(odd, F.col("_o.review_reason")).alias("review_reason"),
+        *(["n"] if pair_repeats else []),
     )

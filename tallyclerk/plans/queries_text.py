@@ -503,6 +503,35 @@ def reconcile_keys(spark, sf):
     return RC.reconcile(left, right, ["k"], ["v"]).select("k", "status", "review_reason")
 
 
+@query(
+    "reconcile_lines",
+    """WITH a AS (SELECT l_orderkey AS k, l_partkey % 20 AS p, l_suppkey % 5 AS s, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS i FROM lineitem),
+    b AS (SELECT k, CASE WHEN i = 2 THEN (p + 1) % 20 ELSE p END AS p, CASE WHEN (k + i) % 3 = 0 THEN (s + 1) % 5 ELSE s END AS s, CASE WHEN (k + i) % 5 = 0 THEN q + 1 ELSE q END AS q FROM a WHERE (k + i) % 11 <> 0
+      UNION ALL SELECT k, p, s, q FROM a WHERE (k + i) % 13 = 0),
+    r AS (SELECT k, p, s, q, 1 AS na, 0 AS nb FROM a UNION ALL SELECT k, p, s, q, 0, 1 FROM b),
+    d3 AS (SELECT k, least(sum(na), sum(nb)) AS m FROM r GROUP BY k, p, s, q), d2 AS (SELECT k, least(sum(na), sum(nb)) AS m FROM r GROUP BY k, p, s),
+    d1 AS (SELECT k, least(sum(na), sum(nb)) AS m FROM r GROUP BY k, p), d0 AS (SELECT k, sum(na) AS na, sum(nb) AS nb, least(sum(na), sum(nb)) AS m FROM r GROUP BY k),
+    t AS (SELECT d0.k, na, nb, d0.m AS m0, m1, m2, m3 FROM d0 JOIN (SELECT k, sum(m) AS m1 FROM d1 GROUP BY k) USING (k) JOIN (SELECT k, sum(m) AS m2 FROM d2 GROUP BY k) USING (k) JOIN (SELECT k, sum(m) AS m3 FROM d3 GROUP BY k) USING (k)),
+    u AS (SELECT k, unnest([{'agreed': 3, 'n': m3}, {'agreed': 2, 'n': m2 - m3}, {'agreed': 1, 'n': m1 - m2}, {'agreed': 0, 'n': m0 - m1}, {'agreed': -1, 'n': na + nb - 2 * m0}], recursive := true) FROM t)
+    SELECT k, CAST(agreed AS INTEGER) AS agreed, CAST(n AS BIGINT) AS n, CASE agreed WHEN 3 THEN 'OK' WHEN -1 THEN 'NEEDS_REVIEW' ELSE 'MISMATCH' END AS status FROM u WHERE n > 0""",
+)
+def reconcile_lines(spark, sf):
+    """Lines of orders against a changed copy, some dropped and some doubled: how far the paired lines of each order agree."""
+    k, i = F.col("k"), F.col("i")
+    a = read(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 20).alias("p"), (F.col("l_suppkey") % 5).alias("s"),
+        F.col("l_quantity").cast("int").alias("q"), F.col("l_linenumber").alias("i"))
+    b = a.filter((k + i) % 11 != 0).select(
+        "k", F.when(i == 2, (F.col("p") + 1) % 20).otherwise(F.col("p")).alias("p"),
+        F.when((k + i) % 3 == 0, (F.col("s") + 1) % 5).otherwise(F.col("s")).alias("s"),
+        F.when((k + i) % 5 == 0, F.col("q") + 1).otherwise(F.col("q")).alias("q"))
+    b = b.union(a.filter((k + i) % 13 == 0).select("k", "p", "s", "q"))
+    paired = RC.reconcile(a, b, ["k"], ["p", "s", "q"], pair_repeats=True)
+    same = [F.col(f"{f}_status") == "match" for f in "psq"]
+    agreed = F.when(F.col("status") == "NEEDS_REVIEW", -1).when(~same[0], 0).when(~same[1], 1).when(~same[2], 2).otherwise(3)
+    return paired.groupBy("k", agreed.alias("agreed"), "status").agg(F.sum("n").alias("n"))
+
+
 @query(
     "batch_prompts",
     r"""WITH m AS (SELECT conv_id * 1000 + turn AS id, role, coalesce(text, '') AS text FROM conversations), b AS (SELECT *, (row_number() OVER (ORDER BY id) - 1) // 15 AS batch FROM m)
