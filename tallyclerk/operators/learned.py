@@ -5,6 +5,9 @@ a plan. Lines meet them by hash: the openings of a line, one for each length tha
 are joined with the labels, and so a document gets the few labels it can use. Whether a captured
 text is part of a longer label is asked of the table in the same way. From there on documents
 are read and contested as with the built-in labels, and the outcome is the same.
+
+Every join here is a merge join: sizes estimated through explodes and aggregates are far too
+small, and a vocabulary taken for a small table would be gathered on the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -62,9 +65,9 @@ def extract_fields_learned(
     lines = step.select(F.col(key).alias("_key"), F.explode("_folded").alias("t")).select("_key", F.upper(F.btrim("t", space)).alias("u"))
     lines = lines.filter(F.length("u") >= widths[0]).withColumn("after", F.substring(F.col("u"), total(F.col("u")) + 1, F.length("u")))
     openings = F.array_distinct(F.concat(_openings(F.col("u"), widths), _openings(F.col("after"), widths)))
-    met = lines.select("_key", F.explode(openings).alias("upper")).distinct().join(entries, "upper")
+    met = lines.select("_key", F.explode(openings).alias("upper")).distinct().join(entries.hint("merge"), "upper")
     known = met.groupBy("_key").agg(F.collect_list(F.struct("f", "l", "label", "upper")).alias("_known"))
-    step = step.join(known, F.col(key) == F.col("_key"), "left").drop("_key")
+    step = step.join(known.hint("merge"), F.col(key) == F.col("_key"), "left").drop("_key")
     none = F.array().cast(f"array<{ENTRY}>")
     step = step.withColumn("_known", F.coalesce("_known", none))
 
@@ -85,11 +88,11 @@ def extract_fields_learned(
     uppers = entries.select("upper").distinct()
     stems = uppers.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("upper")), lambda n: F.substring("upper", F.lit(1), n))).alias("k"), F.col("upper").alias("longer"))
     stems = stems.groupBy("k").agg(F.min("longer").alias("longer"))
-    extends = captured.join(stems, "k").select("_key", "label", "longer")
-    begun = captured.select("_key", "label", F.explode(_openings(F.col("k"), widths)).alias("longer")).filter(F.length("longer") > F.length("label") + 1).join(uppers.withColumnRenamed("upper", "longer"), "longer")
+    extends = captured.join(stems.hint("merge"), "k").select("_key", "label", "longer")
+    begun = captured.select("_key", "label", F.explode(_openings(F.col("k"), widths)).alias("longer")).filter(F.length("longer") > F.length("label") + 1).join(uppers.withColumnRenamed("upper", "longer").hint("merge"), "longer")
     tails = extends.unionByName(begun.select("_key", "label", "longer")).select("_key", "label", F.substring(F.col("longer"), F.length("label") + 2, F.length("longer")).alias("tail"))
     tails = tails.groupBy("_key", "label").agg(F.collect_set("tail").alias("tails")).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("label", "tails"))).alias("_tails"))
-    step = step.join(tails, F.col(key) == F.col("_key"), "left").drop("_key")
+    step = step.join(tails.hint("merge"), F.col(key) == F.col("_key"), "left").drop("_key")
     no_tail = F.array(F.lit(X.NO_TAIL))
     whole = F.transform("_known", lambda x: x.withField("tails", F.coalesce(F.try_element_at("_tails", x["label"]), no_tail)))
     step = step.withColumn("_entries", whole)

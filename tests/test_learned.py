@@ -37,3 +37,13 @@ def test_table_equals_plan(spark):
     assert len({r[6] for r in got}) > 10
     plain = fields_of(extract_fields(docs, labels=V.distinct_labels(), always_thorough=True))
     assert fields_of(extract_fields_learned(docs, table.limit(0), "id")) == plain != got
+
+
+def test_vocabulary_is_never_broadcast(spark):
+    """Estimated as small, a vocabulary grown by explodes would be gathered on the driver."""
+    docs = spark.createDataFrame([(1, "BILL OF LADING\nTaker: Acme")], "id bigint, text string")
+    table = spark.createDataFrame([("shipper", "Taker"), ("consignee", "Taker Agent")], "field string, label_seen string")
+    out = extract_fields_learned(docs, table, "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 5
+    assert ("shipper", "ACME") in {r[1:3] for r in fields_of(out)}
