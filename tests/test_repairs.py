@@ -112,6 +112,19 @@ def test_rules_as_a_long_table(spark, monkeypatch):
     assert short["0"] == "WORD 0 END" and short["w"] == "W" and short["n"] is short["e"] is short["z"] is None
 
 
+def test_a_worker_holds_one_block_of_rules(spark, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_RULES", 2)
+    monkeypatch.setattr(C, "AUTOMATON_CHARS", 12)
+    rules = spark.createDataFrame([(n, "SPAM", f"W{n:02}", 0.5) for n in range(20)] + [(3, "SPAM", "W17", 0.5)], "priority int, category string, phrase string, confidence double")
+    bodies = [(n, " ".join(f"W{m:02}" for m in range(19, n - 1, -1))) for n in range(20)] + [(20, "none"), (21, None), (22, "W17")]
+    messages = spark.createDataFrame(bodies, "id int, canonical_body string").repartition(3)
+    got = C.match_rules_table(messages, rules)
+    # One Python stage a block used to stand in the plan, each with a worker and an automaton.
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {n: f"W{n:02}" if n <= 3 else "W17" for n in range(18)} | {18: "W18", 19: "W19", 20: None, 21: None, 22: "W17"}
+    assert {r.id: r.rule and r.rule.evidence for r in got.collect()} == want
+
+
 def fields_of(spark, texts, **options):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     rows = extract_fields(df, **options).orderBy("i").collect()
