@@ -67,3 +67,14 @@ def test_scanned_values_never_mismatch(spark):
     r = check_messages(msgs, extract_documents(docs)).first()
     assert (r["status"], r["review_reason"]) == ("NEEDS_REVIEW", "unreadable")
     assert {c["status"] for c in r["comparisons"]} == {"uncertain"}
+
+
+def test_exploding_fields_does_not_compute_them_twice(spark):
+    from tallyclerk.operators.documents import extract_documents, field_rows
+
+    docs = spark.createDataFrame([("p", "Shipper: ACME\nConsignee: B and many more words", "text", True, [])], "path string, text string, method string, readable boolean, warnings array<string>")
+    rows = field_rows(extract_documents(docs.repartition(2)))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # The filter that an explode brings along held a copy of the fields' whole expression.
+    assert not [line for line in plan if line.lstrip(" :+-").startswith("Filter") and "transform(" in line]
+    assert rows.filter("value = 'ACME'").count() == 1
