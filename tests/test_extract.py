@@ -78,3 +78,33 @@ def test_exploding_fields_does_not_compute_them_twice(spark):
     # The filter that an explode brings along held a copy of the fields' whole expression.
     assert not [line for line in plan if line.lstrip(" :+-").startswith("Filter") and "transform(" in line]
     assert rows.filter("value = 'ACME'").count() == 1
+
+
+def test_leaders_agree_with_the_contest_on_odd_lines(spark):
+    texts = [
+        "TOTAL TOTAL Gross Weight (KG): 5 KG", "TOTAL\tcontainers\t\t7", "TOTAL", "\x1cShipper\x1f:\x1eACME\x1d", "Shipper", "Shipper\n\n",
+        "Shipper\n\u3000WIDE SPACE", "Shipper\n\x85NEXT LINE", "Ｓｈｉｐｐｅｒ： ＡＣＭＥ", "Shipper毛重: A\nShipper: B", "POL (x): _ _TBA", "POL (x) : __-__",
+        "Notify  Party/Intermediate Consignee", "Notify: \nNotify Party: X", "Consignee::: Y", "Consignee|z", "shipper\r\n  a\r", "Gross Weight\n \n \n 5",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    quick, thorough = [extract_fields(df, always_thorough=t).orderBy("i").collect() for t in (False, True)]
+    for text, a, b in zip(texts, quick, thorough):
+        assert a["fields"] == b["fields"], text
+
+
+def test_text_that_is_not_utf8(spark):
+    df = spark.range(1).select(F.expr("cast(unhex('536869707065723A2041FF43') as string)").alias("text"))
+    assert extract_fields(df).select(F.col("fields")[0]["value"].alias("v")).first()["v"] == "AC"
+
+
+def test_a_summary_brings_only_values_to_the_join(spark):
+    from tallyclerk.operators.documents import extract_documents
+    from tallyclerk.operators.report import inbox_summary
+    from tallyclerk.plans.inbox import check_messages
+
+    docs = spark.createDataFrame([("a", "x", "text", True, [])], "path string, text string, method string, readable boolean, warnings array<string>")
+    msgs = spark.createDataFrame([("m", "x", "s", "y", ["a", "b"])], "email_id string, `from` string, subject string, body string, attachments array<string>")
+    plan = inbox_summary(check_messages(msgs, extract_documents(docs)))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    sides = [line for line in plan if " AS _path#" in line and "path#" in line.split(" AS _path#")[0][-12:]]
+    # Whole documents, with every snippet and line, used to go through both joins.
+    assert len(sides) == 2 and not [line for line in sides if "struct(path" in line]
