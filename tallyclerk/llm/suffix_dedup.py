@@ -9,11 +9,12 @@ suffixes are first dealt out by content:
    have equal anchors, so a window can only repeat if its anchor does; other text goes no further.
 2. A repeated anchor is sent, with the stretch of text that its windows cover, to the shard of its
    hash. Equal windows meet in one shard.
-3. A shard builds the suffix array of its stretches by Larsson-Sadakane refinement (ranks double
-   their depth, only groups still tied are sorted again) and Kasai's common prefixes along each
-   stretch. Neighbours with `length` common bytes are one string; all but its first place are
-   removed. Shards of more than `SHARD` bytes are cut into several, in order of doc_id, and merged
-   by binary search: a string found in an earlier shard's array is removed.
+3. A shard builds the suffix array of the windows of its distinct stretches by Larsson-Sadakane refinement: ranks
+   double their depth, and the last step ends at `length` bytes exactly; only groups still tied are sorted again, and
+   only places that a window's rank looks at take part. Neighbours of one rank are one string; all but
+   its first place are removed, and so are the windows of a stretch that equals an earlier one. Shards of more than
+   `SHARD` bytes are cut into several, in order of doc_id, and merged by binary search: a string found in
+   an earlier shard's array is removed.
 4. An anchor with more than `HOT` bytes of stretches, such as a phrase in very many different
    surroundings, gets no shard. Its stretches are spread again and dealt out window by window, by
    the digest of each, so it takes many tasks and none holds more than `HOT` bytes of one anchor.
@@ -92,102 +93,58 @@ def _runs(begin: np.ndarray, end: np.ndarray, new: np.ndarray) -> tuple[np.ndarr
     return begin[at], end[np.append(at[1:], len(end)) - 1], at
 
 
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, ranks) of all places, ordered by `depth` or more bytes (zeros follow the end)."""
+def suffix_order(data: np.ndarray, depth: int, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, ranks) of places by their first `depth` bytes; zeros follow the end.
+
+    Ranks are equal where those bytes are. room: by place, the bytes up to the end of its stretch. Only places
+    with room for `depth` bytes are ordered then, and others take part as long as these look at them.
+    """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    keys = _words(padded, n, ">u8")
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    starts = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]) if n else np.zeros(0, bool)
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = 0
-    rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0)) + 1
-    known = 8
-    while known < depth:
-        tied = ~starts | ~np.append(starts[1:], True)  # places of the order whose group has others
-        at = np.flatnonzero(tied)
-        if not len(at):
+    room = np.full(n, depth) if room is None else room
+    known, who = min(8, depth), np.flatnonzero(room >= min(8, depth))
+    keys, rank = _words(np.concatenate([data, np.zeros(8, np.uint8)]), n, ">u8")[who] >> np.uint64(64 - 8 * known), np.zeros(n + 1, np.int64)
+    group = np.zeros(len(who), np.int64)  # where the places with one rank so far begin
+    while len(who):
+        sorting = np.argsort(keys)
+        who, keys = who[sorting], keys[sorting]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(who)), 0))
+        rank[who] = np.maximum(rank[who], 1) + first - group
+        if known == depth:
             break
-        who = order[at]
-        keys = rank[who] * (n + 2) + rank[np.minimum(who + known, n)]
-        again = np.argsort(keys, kind="stable")
-        who, keys = who[again], keys[again]
-        order[at] = who
-        starts[at] = np.concatenate([[True], keys[1:] != keys[:-1]])
-        rank[who] = at[np.maximum.accumulate(np.where(starts[at], np.arange(len(at)), 0))] + 1
-        known *= 2
-    return order, rank[:n]
-
-
-def common_prefixes(words: np.ndarray, before: np.ndarray, first: np.ndarray, count: np.ndarray, inside: np.ndarray, limit: int) -> np.ndarray:
-    """Kasai's common prefixes, up to `limit`, of each window with the one before it in the array.
-
-    before: by window, the place of its neighbour in the text, or -1. first and count: the windows
-    of each stretch. They are walked in step over all stretches, and each starts from the length of
-    the one before it less one wherever that one's neighbour also has a next window (inside).
-    """
-    out, high = np.zeros(len(before), np.int64), int(count.max(initial=0))
-    have, place, ok = np.zeros(len(first), np.int64), np.cumsum(count) - count, np.zeros(len(first), bool)
-    live = np.arange(len(first))
-    for step in range(high):
-        live = live[count[live] > step]
-        window = place[live] + step
-        other, own = before[window], first[live] + step
-        size = np.where(ok[live], np.maximum(have[live] - 1, 0), 0)
-        going = np.flatnonzero((other >= 0) & (size < limit))
-        while len(going):
-            x = words[own[going] + size[going]] ^ words[other[going] + size[going]]
-            same = np.where(x == 0, 8, _zero_bytes(x))
-            size[going] += same
-            going = going[(same == 8) & (size[going] < limit)]
-        size = np.where(other >= 0, np.minimum(size, limit), 0)
-        out[window], have[live] = size, size
-        # Within the limit the two differ, so the order of what follows them is known.
-        ok[live] = (other >= 0) & (size < limit) & inside[np.maximum(other, 0)]
-    return out
-
-
-def _zero_bytes(x: np.ndarray) -> np.ndarray:
-    """Leading zero bytes of big-endian words."""
-    n = np.zeros(len(x), np.int64)
-    for shift in (32, 16, 8):
-        top = (x >> np.uint64(shift)) != 0
-        n += np.where(top, 0, shift // 8)
-        x = np.where(top, x >> np.uint64(shift), x)
-    return n
+        step = min(known, depth - known)
+        known += step
+        left = (~new | ~np.append(new[1:], True)) & (room[who] >= known)  # tied, and still looked at
+        who = who[left]
+        now = rank[who]
+        group = np.maximum.accumulate(np.where(np.diff(now, prepend=0) != 0, np.arange(len(who)), 0))
+        keys = now * (n + 2) + rank[np.minimum(who + step, n)]
+    ordered = np.flatnonzero(room >= depth)
+    return ordered[np.argsort(rank[ordered], kind="stable")], rank[:n]
 
 
 class Shard:
     """Windows of some stretches: which repeat, and the first of each kind in sorted order."""
 
-    def __init__(self, texts: list[bytes], first_window: np.ndarray, count: np.ndarray, order: np.ndarray, length: int) -> None:
+    def __init__(self, texts: pa.BinaryArray, order: np.ndarray, length: int) -> None:
         """order: by stretch, its rank by (document, start); equal ranks are one place."""
-        self.length, size = length, np.fromiter(map(len, texts), np.int64, len(texts))
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self.words = _words(np.concatenate([data, np.zeros(16, np.uint8)]), len(data) + 8, ">u8")
-        base = np.cumsum(size) - size
-        stretch = np.repeat(np.arange(len(texts)), count)
-        offset = np.arange(len(stretch)) - np.repeat(np.cumsum(count) - count, count)
-        place = base[stretch] + offset  # where each window starts
-        array, _ = suffix_order(data, length)
-        number = np.full(len(data), -1, np.int64)
-        number[place] = np.arange(len(place))
-        windows = number[array]
-        windows = windows[windows >= 0]  # windows in the order of their suffixes
-        before = np.full(len(place), -1, np.int64)
-        before[windows[1:]] = place[windows[:-1]]
-        inside = np.zeros(len(data) + 1, bool)
-        inside[place[offset + 1 < count[stretch]]] = True
-        common = common_prefixes(self.words, before, base, count, inside, length)
-        new = common[windows] < length
-        kinds = np.flatnonzero(new)
-        key = (order[stretch] * (length + 1) + offset)[windows]
+        size, edge = _sizes(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[edge : edge + size.sum()] if len(texts) else np.zeros(0, np.uint8)
+        self.length, padded = length, np.concatenate([data, np.zeros(8, np.uint8)])
+        self.words = np.ndarray((len(data) + 1,), ">u8", padded.data, strides=(1,))
+        base, count = np.cumsum(size) - size, size - length + 1
+        # Windows are the places with `length` bytes before the end of their stretch.
+        windows, rank = suffix_order(data, length, np.repeat(base + size, size) - np.arange(len(data)))
+        new = np.diff(rank[windows], prepend=0) != 0
+        kinds, kind = np.flatnonzero(new), np.cumsum(new) - 1
+        stretch = np.repeat(np.arange(len(size)), size)[windows]
+        offset = windows - base[stretch]
+        key = order[stretch] * (length + 1) + offset
         least = np.minimum.reduceat(key, kinds) if len(kinds) else key
-        kind = np.cumsum(new) - 1
-        self.removed = np.zeros(len(place), bool)
-        self.removed[windows] = key > least[kind]
-        self.kinds, self._kind, self._windows = place[windows[kinds]], kind, windows
+        number = (np.cumsum(count) - count)[stretch] + offset  # among the windows of all stretches
+        self.removed = np.zeros(len(windows), bool)
+        self.removed[number] = key > least[kind]
+        self.kinds, self._kind, self._windows = windows[kinds], kind, number
 
     def compare(self, mine: np.ndarray, other: Shard, theirs: np.ndarray) -> np.ndarray:
         """Sign of the order of windows at places of this shard and of another one."""
@@ -229,14 +186,35 @@ def _spans(doc: np.ndarray, start: np.ndarray, count: np.ndarray, removed: np.nd
     return doc[s[first]], start[s[first]] + o[first], start[s[first]] + o[last] + length
 
 
-def shard_spans(texts: list[bytes], doc: np.ndarray, start: np.ndarray, count: np.ndarray, keys: np.ndarray, length: int, limit: int = SHARD) -> Iterator[tuple[np.ndarray, ...]]:
+def _sizes(texts: pa.BinaryArray) -> tuple[np.ndarray, int]:
+    """Bytes of each text, and where the first begins in the values of the array."""
+    edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.diff(edges), int(edges[0])
+
+
+def _distinct(texts: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """Texts without repeats, the rows where they first stand, in order, and by row the number of its text."""
+    coded = texts.dictionary_encode()
+    number = coded.indices.to_numpy()
+    return coded.dictionary, np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1)), number
+
+
+def shard_spans(texts: pa.BinaryArray, doc: np.ndarray, start: np.ndarray, keys: np.ndarray, length: int, limit: int = SHARD) -> Iterator[tuple[np.ndarray, ...]]:
     """Spans to remove from stretches that are sorted by (key, document, start).
 
+    Equal stretches, which have equal keys, enter an array once: the later ones are removed whole.
     Stretches of one key stay together; a key of more than `limit` bytes becomes several shards.
     """
-    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+    if not len(texts):
+        return
+    texts, first, number = _distinct(texts)
+    sizes = _sizes(texts)[0]
+    again = np.flatnonzero((doc != doc[first[number]]) | (start != start[first[number]]))
+    yield doc[again], start[again], start[again] + sizes[number[again]]
+    doc, start, keys = doc[first], start[first], keys[first]
+    edge = np.concatenate([[0], np.cumsum(sizes)])
     at, n = 0, len(texts)
-    bounds = np.append(np.flatnonzero(np.diff(keys)) + 1, n) if n else np.zeros(0, np.int64)
+    bounds = np.append(np.flatnonzero(np.diff(keys)) + 1, n)
     earlier: list[Shard] = []
     while at < n:
         full = int(np.searchsorted(edge, edge[at] + limit, "right")) - 1  # stretches that fit
@@ -244,10 +222,10 @@ def shard_spans(texts: list[bytes], doc: np.ndarray, start: np.ndarray, count: n
         to = int(ends[-1]) if len(ends) else min(max(full, at + 1), n)
         whole = bool(len(ends)) or to in bounds
         _, order = np.unique(np.stack([doc[at:to], start[at:to]]), axis=1, return_inverse=True)
-        shard = Shard(texts[at:to], start[at:to], count[at:to], np.asarray(order).reshape(-1), length)
+        shard = Shard(texts.slice(at, to - at), np.asarray(order).reshape(-1), length)
         for one in earlier:
             shard.remove_those_in(one)
-        yield _spans(doc[at:to], start[at:to], count[at:to], shard.removed, length)
+        yield _spans(doc[at:to], start[at:to], sizes[at:to] - length + 1, shard.removed, length)
         earlier = [] if whole else [*earlier, shard]
         at = to
 
@@ -379,8 +357,8 @@ def _removed(keyed: DataFrame, key: str, twin: str, length: int) -> DataFrame:
                 number, other = ready["doc"].to_numpy(), ready["twin"].to_numpy()
                 if twins := other.any():  # (doc, twin) in order, as numbers
                     ids, number = np.unique(np.stack([number, other]), axis=1, return_inverse=True)
-                for n, begin, end in shard_spans(
-                        ready["stretch"].to_pylist(), np.asarray(number).reshape(-1), *(ready[c].to_numpy() for c in ("start", "count", "key")), length):
+                stretches = ready["stretch"].cast(pa.binary()).combine_chunks()
+                for n, begin, end in shard_spans(stretches, np.asarray(number).reshape(-1), *(ready[c].to_numpy() for c in ("start", "key")), length):
                     yield out(*(ids[:, n] if twins else (n, np.zeros(len(n)))), begin, end)
 
         parts = KeyParts(hot_bytes)

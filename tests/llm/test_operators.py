@@ -289,6 +289,48 @@ def test_suffix_order_and_prefixes():
     assert all((rank[a] == rank[b]) == (raw[a : a + 64].ljust(64, b"\0") == raw[b : b + 64].ljust(64, b"\0")) for a, b in zip(order, order[1:], strict=False))
 
 
+@pytest.mark.parametrize("depth", [5, 24, 100])
+def test_suffix_order_ends_at_its_depth(depth):
+    """Ranks tell whether `depth` bytes are equal, no more; with room given, for places that have them."""
+    rng = np.random.default_rng(1)
+    some, other = rng.integers(97, 99, 110).astype(np.uint8), rng.integers(97, 99, 300).astype(np.uint8)
+    parts = [some, other, some[:105], other[:130], some]
+    data = np.concatenate(parts)
+    raw, room = data.tobytes(), np.concatenate([np.arange(len(p), 0, -1) for p in parts])
+    heads = [raw[i : i + depth].ljust(depth, b"\0") for i in range(len(raw))]
+    for limits in (None, room):
+        order, rank = suffix_dedup.suffix_order(data, depth, limits)
+        assert sorted(order) == [i for i in range(len(raw)) if limits is None or room[i] >= depth]
+        assert [heads[i] for i in order] == sorted(heads[i] for i in order)
+        assert all((rank[a] == rank[b]) == (heads[a] == heads[b]) for a, b in zip(order, order[1:], strict=False))
+
+
+@pytest.mark.parametrize("limit", [suffix_dedup.SHARD, 700])
+def test_equal_stretches_enter_an_array_once(limit, monkeypatch):
+    rng = random.Random(3)
+    middle, made = "".join(rng.choices("abcd", k=130)), []
+    around = ["".join(rng.choices("abcd", k=30)) for _ in range(4)]
+    kinds = [(a + middle + b).encode() for a in around for b in around[:2]] + [middle.encode()]
+    rows = sorted((key, doc, 400 * key, kind.upper() if key else kind) for doc in range(40) for key in (0, 1) for kind in [rng.choice(kinds)])
+    rows += [rows[-1]]  # a repeated row is the same place
+
+    class Watched(suffix_dedup.Shard):
+        def __init__(self, texts, *rest):
+            made.extend(texts.to_pylist())
+            super().__init__(texts, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "Shard", Watched)
+    keys, docs, starts, texts = zip(*rows, strict=True)
+    spans = list(suffix_dedup.shard_spans(pa.array(texts, pa.binary()), *(np.array(x) for x in (docs, starts, keys)), 100, limit))
+    got = {(d, i) for part in spans for d, b, e in zip(*(x.tolist() for x in part), strict=True) for i in range(b, e)}
+    first, want = {}, set()
+    for key, doc, start, text in rows:
+        for i in range(len(text) - 99):
+            if first.setdefault((key, text[i : i + 100]), (doc, start + i)) < (doc, start + i):
+                want |= {(doc, j) for j in range(start + i, start + i + 100)}
+    assert got == want and len(made) == len(set(texts)) < 20
+
+
 def test_simhash(spark, docs):
     rows, _, df = docs
     fps = {i: brute.simhash(t) for i, t in rows}
